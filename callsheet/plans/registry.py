@@ -23,22 +23,23 @@ class Spec:
     fn: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
     rnd: tuple[str, ...] = field(default_factory=tuple)
+    digits: int = 6
 
 
 REGISTRY: dict[str, Spec] = {}
 
 
-def query(name: str, sql: str | None = None, rnd: tuple[str, ...] | list[str] = ()):
+def query(name: str, sql: str | None = None, rnd: tuple[str, ...] | list[str] = (), digits: int = 6):
     def deco(fn):
-        REGISTRY[name] = Spec(fn, sql, tuple(rnd))
+        REGISTRY[name] = Spec(fn, sql, tuple(rnd), digits)
         return fn
     return deco
 
 
-def _round_cols(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+def _round_cols(df: DataFrame, cols: tuple[str, ...], digits: int = 6) -> DataFrame:
     if not cols:
         return df
-    return df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c in cols else F.col(c)
+    return df.select(*[F.round(F.col(c).cast("double"), digits).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 
@@ -46,7 +47,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {}
     for name, spec in REGISTRY.items():
         def run(spark, sf_dir, _spec=spec):
-            return _round_cols(_spec.fn(spark, sf_dir), _spec.rnd)
+            return _round_cols(_spec.fn(spark, sf_dir), _spec.rnd, _spec.digits)
         out[name] = run
     return out
 
@@ -57,7 +58,7 @@ def oracle_sqls() -> dict[str, str]:
         if spec.sql is None:
             continue
         if spec.rnd:
-            repl = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in spec.rnd)
+            repl = ", ".join(f"round(CAST({c} AS DOUBLE), {spec.digits}) AS {c}" for c in spec.rnd)
             body = f"SELECT * REPLACE ({repl}) FROM ({spec.sql}) AS _q"
         else:
             body = f"SELECT * FROM ({spec.sql}) AS _q"
