@@ -15,9 +15,7 @@ import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +34,19 @@ def _project(df: DataFrame, features: str, basis: np.ndarray, out: str) -> DataF
 
 
 def svd_basis(df: DataFrame, features: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (p x k) and singular values of the uncentred
-    feature matrix. The Gramian is a distributed tree aggregate; only p x p
-    reaches the driver."""
-    rows = df.select(features).rdd.map(lambda r: Vectors.dense(r[0].toArray()))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    v = np.array(svd.V.toArray())
-    return _fix_signs(v), np.array(svd.s.toArray())
+    """Right singular vectors (p x k) of the uncentred feature matrix X and
+    their shares of X'X's trace.
+
+    Every row enters twice, as x and -x: the mirrored set has mean 0, so its
+    covariance is X'X / (2n - 1) and Spark's PCA (a JVM tree aggregate of the
+    p x p Gramian followed by a local eigen-decomposition) returns exactly the
+    right singular vectors of X. Only p x p numbers reach the driver.
+    """
+    sign = df.select(features).withColumn("_s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    mirrored = sign.select(array_to_vector(F.transform(vector_to_array(F.col(features)),
+                                                       lambda v: v * F.col("_s"))).alias("_m"))
+    model = PCA(k=k, inputCol="_m", outputCol="_o").fit(mirrored)
+    return _fix_signs(np.array(model.pc.toArray())), np.array(model.explainedVariance.toArray())
 
 
 def _fix_signs(basis: np.ndarray) -> np.ndarray:
