@@ -50,6 +50,14 @@ def split_stratified(df: DataFrame, label: str, id_col: str, frac: float = 0.5,
     return r.withColumn(out, F.col("_rank") <= F.round(F.col("_class_n") * F.lit(frac))).drop("_rank", "_class_n")
 
 
+def split_and_folds(df: DataFrame, label: str, id_col: str, frac: float = 0.5, k: int = 5, seed: int = SEED,
+                    split_col: str = "is_train", fold_col: str = "fold") -> DataFrame:
+    """Split flag and fold number from one ranking pass (one shuffle)."""
+    r = rank_within_class(df, label, id_col, seed)
+    return (r.withColumn(split_col, F.col("_rank") <= F.round(F.col("_class_n") * F.lit(frac)))
+            .withColumn(fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_class_n"))
+
+
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = SEED,
                      out: str = "fold") -> DataFrame:
     """Stratified k folds: rows of each class dealt round-robin by seeded hash."""
@@ -109,7 +117,7 @@ def one_hot_stages(cols: Sequence[str], order: str = "alphabetAsc", drop_last: b
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType=order, handleInvalid="keep")
            for c in cols]
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}{suffix}" for c in cols],
-                        dropLast=drop_last, handleInvalid="keep")
+                        dropLast=drop_last)
     return idx + [ohe]
 
 

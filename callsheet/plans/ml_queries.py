@@ -21,6 +21,7 @@ from callsheet.operators import stats as S
 from callsheet.operators import tuning as T
 from callsheet.plans.model_queries import L2_FEATURES, SEED, labeled
 from callsheet.plans.registry import query
+from callsheet.session import persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
 
 ALL = CATEGORICAL + NUMERIC
@@ -29,12 +30,13 @@ ALL = CATEGORICAL + NUMERIC
 def prepared(spark, sf_dir):
     """Train/test frames with the encoded ``features`` vector, the z-scored
     numeric columns for the closed forms and 5 stratified folds on train."""
-    lab = labeled(spark, sf_dir)
-    lab = P.stratified_folds(lab, "label", "client_id", 5, SEED)
+    c = clients(spark, sf_dir).withColumn("label", yes_no("y"))
+    lab = persist(P.split_and_folds(c, "label", "client_id", 0.5, 5, SEED))
     train = lab.where("is_train")
     prep = P.FeaturePrep(NUMERIC, CATEGORICAL).fit(train)
     stats = P.fit_standardize(train, L2_FEATURES)
     full = P.apply_standardize(prep.transform(lab), stats).withColumn("label", F.col("label").cast("double"))
+    full = persist(full)
     return full.where("is_train"), full.where(~F.col("is_train")), prep
 
 
@@ -132,7 +134,6 @@ def q_linear_margin(spark, sf_dir):
 @query("leaderboard")
 def q_leaderboard(spark, sf_dir):
     train, test, _ = prepared(spark, sf_dir)
-    train = train.cache()
     return M.leaderboard(train, test, C.bakeoff(L2_FEATURES))
 
 
@@ -156,7 +157,7 @@ def _nc_grid(est):
 def q_grid_search(spark, sf_dir):
     train, _, _ = prepared(spark, sf_dir)
     est = C.NearestCentroidClassifier(inputCols=L2_FEATURES)
-    _, res = T.grid_search(est, _nc_grid(est), train.cache(), M.BalancedAccuracyEvaluator())
+    _, res = T.grid_search(est, _nc_grid(est), train, M.BalancedAccuracyEvaluator())
     return res
 
 
@@ -165,7 +166,7 @@ def q_grid_search_nb(spark, sf_dir):
     train, _, _ = prepared(spark, sf_dir)
     est = C.GaussianNBClassifier(inputCols=L2_FEATURES)
     grid = ParamGridBuilder().addGrid(est.varSmoothing, [1e-9, 1e-8, 1e-7, 1e-6, 1e-5]).build()
-    _, res = T.grid_search(est, grid, train.cache(), M.BalancedAccuracyEvaluator())
+    _, res = T.grid_search(est, grid, train, M.BalancedAccuracyEvaluator())
     return res
 
 
@@ -178,7 +179,6 @@ def tp_rate(pred: DataFrame) -> float:
 @query("param_search")
 def q_param_search(spark, sf_dir):
     train, _, _ = prepared(spark, sf_dir)
-    train = train.cache()
     fit_part, valid = train.where(F.col("fold") != 0), train.where(F.col("fold") == 0)
     space = {"metric": T.choice("euclidean", "manhattan"), "shrinkThreshold": T.quniform(0.001, 0.5, 0.001)}
 
@@ -192,7 +192,7 @@ def q_param_search(spark, sf_dir):
 @query("cv_score")
 def q_cv_score(spark, sf_dir):
     train, _, _ = prepared(spark, sf_dir)
-    return T.cv_score(C.NearestCentroidClassifier(inputCols=L2_FEATURES), train.cache(), 5)
+    return T.cv_score(C.NearestCentroidClassifier(inputCols=L2_FEATURES), train, 5)
 
 
 @query("stacking")
@@ -201,4 +201,4 @@ def q_stacking(spark, sf_dir):
     bases = {"nc": C.NearestCentroidClassifier(inputCols=L2_FEATURES),
              "nb": C.GaussianNBClassifier(inputCols=L2_FEATURES),
              "qda": C.QDAClassifier(inputCols=L2_FEATURES, regParam=1.0)}
-    return T.stack(bases, train.cache(), test, 5)
+    return T.stack(bases, train, test, 5)

@@ -15,6 +15,7 @@ from callsheet.operators import gower as G
 from callsheet.operators import prep as P
 from callsheet.operators import segments as SG
 from callsheet.plans.registry import query
+from callsheet.session import persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
 
 SEED = 6932
@@ -34,9 +35,9 @@ def subscribers(spark, sf_dir) -> DataFrame:
 
 
 def encoded(spark, sf_dir) -> DataFrame:
-    subs = subscribers(spark, sf_dir)
+    subs = persist(subscribers(spark, sf_dir))
     prep = P.FeaturePrep(NUMERIC, CATEGORICAL).fit(subs)
-    return prep.transform(subs)
+    return persist(prep.transform(subs))
 
 
 def embedded(spark, sf_dir) -> DataFrame:
@@ -44,18 +45,18 @@ def embedded(spark, sf_dir) -> DataFrame:
     enc = encoded(spark, sf_dir)
     svd = SG.svd_project(enc, "features", SVD_K, "svd")
     pca, _ = SG.pca_project(svd, "svd", 2, "pca")
-    return pca.withColumnRenamed("pc1", "x").withColumnRenamed("pc2", "y")
+    return persist(pca.withColumnRenamed("pc1", "x").withColumnRenamed("pc2", "y"))
 
 
 def segmented(spark, sf_dir) -> DataFrame:
-    emb = embedded(spark, sf_dir).cache()
+    emb = embedded(spark, sf_dir)
     labelled, _ = SG.kmeans(emb, "pca", KMEANS_K, SEED, "cluster")
     return labelled
 
 
 @query("svd_variance")
 def q_svd_variance(spark, sf_dir):
-    return SG.svd_variance(encoded(spark, sf_dir).cache(), "features", SVD_K)
+    return SG.svd_variance(encoded(spark, sf_dir), "features", SVD_K)
 
 
 @query("svd_project")
@@ -123,7 +124,7 @@ def q_gower_to_landmarks(spark, sf_dir):
 def gower_segmented(spark, sf_dir) -> DataFrame:
     vec = G.gower_vectors(subscribers(spark, sf_dir), "client_id", NUMERIC, CATEGORICAL, N_LANDMARKS, SEED)
     pca, _ = SG.pca_project(vec, "gower_vec", 2, "gpca")
-    labelled, _ = SG.kmeans(pca.cache(), "gpca", GOWER_K, SEED, "cluster")
+    labelled, _ = SG.kmeans(persist(pca), "gpca", GOWER_K, SEED, "cluster")
     return labelled
 
 
@@ -134,7 +135,7 @@ def q_gower_embed_cluster(spark, sf_dir):
 
 @query("bisecting_segments")
 def q_bisecting_segments(spark, sf_dir):
-    emb = embedded(spark, sf_dir).cache()
+    emb = embedded(spark, sf_dir)
     out, _ = SG.bisecting(emb, "pca", KMEANS_K, SEED, "cluster")
     return out.select("client_id", "cluster")
 
@@ -162,7 +163,7 @@ def q_cluster_compare(spark, sf_dir):
 
 @query("cluster_compare_models")
 def q_cluster_compare_models(spark, sf_dir):
-    emb = embedded(spark, sf_dir).cache()
+    emb = embedded(spark, sf_dir)
     km, _ = SG.kmeans(emb, "pca", KMEANS_K, SEED, "kmeans")
     bk, _ = SG.bisecting(km, "pca", KMEANS_K, SEED, "bisecting")
     return SG.cluster_compare(bk, "kmeans", "bisecting")

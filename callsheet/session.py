@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +70,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def persist(df: DataFrame) -> DataFrame:
+    """Keep a frame that an iterative fit scans many times; partitions that
+    do not fit in memory spill to local disk, lost ones are recomputed from
+    lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
