@@ -114,11 +114,12 @@ def one_hot_stages(cols: Sequence[str], order: str = "alphabetAsc", drop_last: b
     """StringIndexer(keep) + OneHotEncoder(dropLast): with ``alphabetAsc`` the
     dropped slot is the 'unknown' bucket, so every seen category has a slot
     and an unseen or null one encodes as all zeros."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType=order, handleInvalid="keep")
-           for c in cols]
+    # one multi-column indexer: all label sets come from a single pass
+    idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols], stringOrderType=order,
+                        handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}{suffix}" for c in cols],
                         dropLast=drop_last)
-    return idx + [ohe]
+    return [idx, ohe]
 
 
 def one_hot(train: DataFrame, cols: Sequence[str], df: DataFrame | None = None) -> DataFrame:
@@ -179,6 +180,6 @@ class FeaturePrep:
         names = list(self.numeric)
         for st in self.model.stages:
             if st.__class__.__name__ == "StringIndexerModel":
-                c = st.getInputCol()
-                names += [f"{c}={v}" for v in st.labels]
+                for c, labels in zip(st.getInputCols(), st.labelsArray):
+                    names += [f"{c}={v}" for v in labels]
         return names

@@ -22,85 +22,90 @@ from pyspark.sql import functions as F
 SEED = 6932
 
 
-def _project(df: DataFrame, features: str, basis: np.ndarray, out: str) -> DataFrame:
-    """Row-wise ``x . basis`` for a p x k basis held as a constant array
-    (k output values packed into an array); no join, no Python on the
-    executors, and the plan stays small however wide the basis is."""
-    arr = vector_to_array(F.col(features))
-    cols = F.array(*[F.array(*[F.lit(float(w)) for w in basis[:, j]]) for j in range(basis.shape[1])])
-    dot = F.transform(cols, lambda bj: F.aggregate(F.zip_with(arr, bj, lambda a, b: a * b),
-                                                   F.lit(0.0), lambda acc, x: acc + x))
-    return df.withColumn(out, dot)
+def _signs(basis: np.ndarray) -> list[float]:
+    """+1/-1 per component so that its largest-magnitude loading is positive."""
+    out = []
+    for j in range(basis.shape[1]):
+        i = int(np.argmax(np.abs(basis[:, j])))
+        out.append(-1.0 if basis[i, j] < 0 else 1.0)
+    return out
 
 
-def svd_basis(df: DataFrame, features: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (p x k) of the uncentred feature matrix X and
-    their shares of X'X's trace.
+def _signed(df: DataFrame, raw: str, signs: list[float], out: str, names: list[str] | None = None) -> DataFrame:
+    """Apply component signs to a projected vector (k cheap column products)."""
+    arr = vector_to_array(F.col(raw))
+    comps = [arr[j] * F.lit(sg) for j, sg in enumerate(signs)]
+    df = df.withColumn(out, array_to_vector(F.array(*comps)))
+    if names:
+        oarr = vector_to_array(F.col(out))
+        df = df.select("*", *[oarr[j].alias(n) for j, n in enumerate(names)])
+    return df.drop(raw)
+
+
+def svd_fit(df: DataFrame, features: str, k: int):
+    """Right singular vectors of the uncentred feature matrix X.
 
     Every row enters twice, as x and -x: the mirrored set has mean 0, so its
     covariance is X'X / (2n - 1) and Spark's PCA (a JVM tree aggregate of the
-    p x p Gramian followed by a local eigen-decomposition) returns exactly the
-    right singular vectors of X. Only p x p numbers reach the driver.
+    p x p Gramian, then a local eigen-decomposition) returns exactly the right
+    singular vectors of X. Only p x p numbers reach the driver. Returns the
+    fitted ``PCAModel`` (its transform is the uncentred projection x . V,
+    computed natively in the JVM) and the sign fix per component.
     """
     sign = df.select(features).withColumn("_s", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
     mirrored = sign.select(array_to_vector(F.transform(vector_to_array(F.col(features)),
                                                        lambda v: v * F.col("_s"))).alias("_m"))
     model = PCA(k=k, inputCol="_m", outputCol="_o").fit(mirrored)
-    return _fix_signs(np.array(model.pc.toArray())), np.array(model.explainedVariance.toArray())
+    return model, _signs(np.array(model.pc.toArray()))
 
 
-def _fix_signs(basis: np.ndarray) -> np.ndarray:
-    """Make the largest-magnitude loading of every component positive."""
-    b = basis.copy()
-    for j in range(b.shape[1]):
-        i = int(np.argmax(np.abs(b[:, j])))
-        if b[i, j] < 0:
-            b[:, j] = -b[:, j]
-    return b
+def svd_basis(df: DataFrame, features: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(p x k sign-fixed basis, share of X'X's trace per component)."""
+    model, signs = svd_fit(df, features, k)
+    return np.array(model.pc.toArray()) * np.array(signs), np.array(model.explainedVariance.toArray())
+
+
+def svd_project(df: DataFrame, features: str, k: int, out: str = "svd", fit_on: DataFrame | None = None) -> DataFrame:
+    """Project onto k SVD components fitted on ``fit_on`` (default: df), as a vector column."""
+    model, signs = svd_fit(fit_on if fit_on is not None else df, features, k)
+    raw = model.copy().setInputCol(features).setOutputCol("_svd_raw").transform(df)
+    return _signed(raw, "_svd_raw", signs, out)
 
 
 def svd_variance(df: DataFrame, features: str, k: int) -> DataFrame:
     """Explained-variance ratio of each of k SVD components and the running
     total: (component, explained_variance, ratio, cumulative). The variance
-    of each projected column and the total variance come from one aggregate."""
-    v, _ = svd_basis(df, features, k)
-    proj = _project(df, features, v, "_z")
+    of every projected column and the total variance of the features come
+    from one aggregate over the projection."""
+    proj = svd_project(df, features, k, "_z")
+    z = vector_to_array(F.col("_z"))
     arr = vector_to_array(F.col(features))
-    p = v.shape[0]
-    row = proj.agg(*[F.var_pop(F.col("_z")[j]).alias(f"c{j}") for j in range(k)],
+    p = len(df.select(features).first()[0])
+    row = proj.agg(*[F.var_pop(z[j]).alias(f"c{j}") for j in range(k)],
                    *[F.var_pop(arr[i]).alias(f"t{i}") for i in range(p)]).first()
     total = sum(row[f"t{i}"] for i in range(p))
-    spark = df.sparkSession
     rows, cum = [], 0.0
     for j in range(k):
         ev = row[f"c{j}"]
         ratio = ev / total if total else 0.0
         cum += ratio
         rows.append((j + 1, float(ev), float(ratio), float(cum)))
-    return spark.createDataFrame(rows, "component int, explained_variance double, ratio double, cumulative double")
-
-
-def svd_project(df: DataFrame, features: str, k: int, out: str = "svd", fit_on: DataFrame | None = None) -> DataFrame:
-    """Project onto k SVD components fitted on ``fit_on`` (default: df), as a vector column."""
-    v, _ = svd_basis(fit_on if fit_on is not None else df, features, k)
-    return _project(df, features, v, "_svd").withColumn(out, array_to_vector("_svd")).drop("_svd")
+    return df.sparkSession.createDataFrame(rows, "component int, explained_variance double, ratio double, "
+                                                 "cumulative double")
 
 
 def pca_project(df: DataFrame, features: str, k: int = 2, out: str = "pca", fit_on: DataFrame | None = None):
-    """Centre (Spark's PCA does not), fit PCA, fix component signs, project.
-    Returns (frame with ``out`` vector and ``x``/``y``... columns, loadings)."""
+    """Centre (Spark's PCA does not), fit PCA, project natively, fix the
+    component signs. Adds ``out`` (vector) and ``pc1..pck``; returns
+    (frame, sign-fixed loadings)."""
     src = fit_on if fit_on is not None else df
     centre = StandardScaler(inputCol=features, outputCol="_c", withMean=True, withStd=False).fit(src)
     pca = PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(src))
-    basis = _fix_signs(np.array(pca.pc.toArray()))
-    mean = np.array(centre.mean.toArray())
-    # x' = (x - mean) . basis  ==  x . basis - mean . basis
-    shift = mean @ basis
-    proj = _project(df, features, basis, "_pz")
-    comps = [(F.col("_pz")[j] - F.lit(float(shift[j]))).alias(f"pc{j + 1}") for j in range(k)]
-    proj = proj.select("*", *comps).drop("_pz")
-    proj = proj.withColumn(out, array_to_vector(F.array(*[F.col(f"pc{j + 1}") for j in range(k)])))
-    return proj, basis
+    basis = np.array(pca.pc.toArray())
+    signs = _signs(basis)
+    proj = pca.transform(centre.transform(df)).drop("_c")
+    proj = _signed(proj, "_p", signs, out, [f"pc{j + 1}" for j in range(k)])
+    return proj, basis * np.array(signs)
 
 
 def _canonical_labels(df: DataFrame, raw: str, out: str, features: str) -> DataFrame:

@@ -17,6 +17,7 @@ from callsheet.operators import metrics as M
 from callsheet.operators import models as MD
 from callsheet.operators import prep as P
 from callsheet.plans.registry import query
+from callsheet.session import persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
 
 SEED = P.SEED
@@ -31,7 +32,9 @@ SECONDS_PER_HOUR = 3600.0
 
 def labeled(spark, sf_dir) -> DataFrame:
     c = clients(spark, sf_dir).withColumn("label", yes_no("y"))
-    return P.split_stratified(c, "label", "client_id", FRAC, SEED)
+    # fits scan this frame several times: keep it instead of re-running the
+    # joins and the ranking shuffle for every pass
+    return persist(P.split_stratified(c, "label", "client_id", FRAC, SEED))
 
 
 def scaled(spark, sf_dir, features=L2_FEATURES) -> DataFrame:
@@ -437,7 +440,7 @@ def two_layer(spark, sf_dir) -> DataFrame:
     """Layer 2: re-split the kept rows, nearest centroid on all numerics,
     predict every kept row. Returns (client_id, label, prediction, duration)."""
     t = trimmed(spark, sf_dir)
-    t2 = P.split_stratified(t, "label", "client_id", FRAC, SEED)
+    t2 = persist(P.split_stratified(t, "label", "client_id", FRAC, SEED))
     stats = P.fit_standardize(t2.where("is_train"), L2_FEATURES)
     sc2 = P.apply_standardize(t2.withColumn("raw_duration", F.col("duration")), stats)
     nc = MD.nearest_centroid(sc2.where("is_train"), L2_FEATURES, "label")
