@@ -14,9 +14,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Feature sets wider than this are fitted with the vector Summarizer and
+# scored with one loop expression over a constant array instead of one
+# generated term per feature: the per-row work is the same, but the
+# generated code stays small (very wide expressions exceed the JIT method
+# size limit and fall back to slow interpretation).
+WIDE = 16
+
 
 def _argmax(scores: dict[int, Column]) -> Column:
     """Class of the highest score; ties go to the smallest class."""
@@ -42,13 +51,71 @@ def _softmax(scores: dict[int, Column]) -> Column:
     return F.array(*[e / total for e in exps])
 
 
-def _class_moments(train: DataFrame, features: Sequence[str], label: str, extra=()) -> list:
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.avg(F.col(f).cast("double")).alias(f"m_{i}") for i, f in enumerate(features)]
-    aggs += [F.var_pop(F.col(f).cast("double")).alias(f"v_{i}") for i, f in enumerate(features)]
-    aggs += list(extra)
-    rows = train.groupBy(label).agg(*aggs).collect()
-    return sorted(rows, key=lambda r: r[label])
+def _score(df: DataFrame, scores: dict[int, Column], prediction: str, probability: str) -> DataFrame:
+    """Evaluate every class score once (into a temporary array), then take
+    the argmax and the softmax from it."""
+    classes = list(scores)
+    df = df.withColumn("_scores", F.array(*scores.values()))
+    ref = {c: F.col("_scores")[i] for i, c in enumerate(classes)}
+    return df.withColumn(prediction, _argmax(ref)).withColumn(probability, _softmax(ref)).drop("_scores")
+
+
+def _class_moments(train: DataFrame, features: Sequence[str], label: str, extra=(),
+                   squares: bool = False) -> list[dict]:
+    """Per-class count, means, population variances (and sums of squares):
+    one grouped aggregate, one row per class.
+
+    Narrow inputs use one SQL aggregate per statistic (codegen'd); wide
+    inputs use Spark ML's vector ``Summarizer``, a single imperative
+    aggregate whatever the width, so the plan stays small.
+    """
+    features = list(features)
+    if len(features) <= WIDE:
+        aggs = [F.count(F.lit(1)).alias("_n")]
+        aggs += [F.avg(F.col(f).cast("double")).alias(f"m_{i}") for i, f in enumerate(features)]
+        aggs += [F.var_pop(F.col(f).cast("double")).alias(f"v_{i}") for i, f in enumerate(features)]
+        if squares:
+            aggs += [F.sum(F.pow(F.col(f).cast("double"), 2)).alias(f"q_{i}") for i, f in enumerate(features)]
+        aggs += list(extra)
+        rows = [r.asDict() for r in train.groupBy(label).agg(*aggs).collect()]
+        return sorted(rows, key=lambda r: r[label])
+    vec = array_to_vector(F.array(*[F.col(f).cast("double") for f in features]))
+    summ = Summarizer.metrics("count", "mean", "variance", "normL2").summary(vec).alias("_s")
+    out = []
+    for r in train.groupBy(label).agg(summ, *extra).collect():
+        d = r.asDict()
+        s = d.pop("_s")
+        n = int(s["count"])
+        d["_n"] = n
+        mean, var, l2 = s["mean"].toArray(), s["variance"].toArray(), s["normL2"].toArray()
+        for i in range(len(features)):
+            d[f"m_{i}"] = float(mean[i])
+            d[f"v_{i}"] = float(var[i]) * (n - 1) / n if n > 1 else 0.0   # sample -> population
+            if squares:
+                d[f"q_{i}"] = float(l2[i]) ** 2
+        out.append(d)
+    return sorted(out, key=lambda r: r[label])
+
+
+def _x_array(features: Sequence[str]) -> Column:
+    return F.array(*[F.col(f).cast("double") for f in features])
+
+
+def _const_array(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _loop_sum(x: Column, start: float, centre, scale, kind: str) -> Column:
+    """start - sum_j term_j, folded left to right like the explicit form:
+    kind 'gauss': (x_j - c_j)^2 / s_j subtracted; 'sq' / 'abs': distances added."""
+    c, d = _const_array(centre), _const_array(scale) if scale is not None else None
+    idx = F.sequence(F.lit(0), F.lit(len(centre) - 1))
+    if kind == "gauss":
+        return F.aggregate(idx, F.lit(float(start)),
+                           lambda acc, j: acc - F.pow(x[j] - c[j], 2) / d[j])
+    if kind == "sq":
+        return F.aggregate(idx, F.lit(0.0), lambda acc, j: acc + (x[j] - c[j]) * (x[j] - c[j]))
+    return F.aggregate(idx, F.lit(0.0), lambda acc, j: acc + F.abs(x[j] - c[j]))
 
 
 # ------------------------------------------------------------ Gaussian NB
@@ -64,8 +131,13 @@ class GaussianNBModel:
     def scores(self) -> dict[int, Column]:
         """Joint log-likelihood per class."""
         out = {}
+        wide = len(self.features) > WIDE
+        x = _x_array(self.features) if wide else None
         for c in self.classes:
             const = self.log_prior[c] - 0.5 * sum(math.log(2 * math.pi * v) for v in self.variances[c])
+            if wide:
+                out[c] = _loop_sum(x, const, self.means[c], [2 * v for v in self.variances[c]], "gauss")
+                continue
             e = F.lit(const)
             for f, m, v in zip(self.features, self.means[c], self.variances[c]):
                 e = e - F.pow(F.col(f).cast("double") - F.lit(m), 2) / F.lit(2 * v)
@@ -74,8 +146,7 @@ class GaussianNBModel:
 
     def transform(self, df: DataFrame, prediction: str = "prediction",
                   probability: str = "probability") -> DataFrame:
-        s = self.scores()
-        return df.withColumn(prediction, _argmax(s)).withColumn(probability, _softmax(s))
+        return _score(df, self.scores(), prediction, probability)
 
 
 def gaussian_nb(train: DataFrame, features: Sequence[str], label: str = "label",
@@ -112,7 +183,13 @@ class NearestCentroidModel:
 
     def distances(self) -> dict[int, Column]:
         out = {}
+        wide = len(self.features) > WIDE
+        x = _x_array(self.features) if wide else None
         for c in self.classes:
+            if wide:
+                out[c] = _loop_sum(x, 0.0, self.centroids[c], None,
+                                   "abs" if self.metric == "manhattan" else "sq")
+                continue
             terms = []
             for f, m in zip(self.features, self.centroids[c]):
                 d = F.col(f).cast("double") - F.lit(m)
@@ -135,10 +212,10 @@ def nearest_centroid(train: DataFrame, features: Sequence[str], label: str = "la
     towards 0 by ``shrink_threshold``."""
     features = list(features)
     p = len(features)
-    extra = [F.sum(F.pow(F.col(f).cast("double"), 2)).alias(f"q_{i}") for i, f in enumerate(features)]
+    extra = []
     if metric == "manhattan":
-        extra += [F.percentile(F.col(f).cast("double"), 0.5).alias(f"med_{i}") for i, f in enumerate(features)]
-    rows = _class_moments(train, features, label, extra)
+        extra = [F.percentile(F.col(f).cast("double"), 0.5).alias(f"med_{i}") for i, f in enumerate(features)]
+    rows = _class_moments(train, features, label, extra, squares=shrink_threshold is not None)
     classes = [int(r[label]) for r in rows]
     key = "med" if metric == "manhattan" else "m"
     cent = {int(r[label]): [r[f"{key}_{j}"] for j in range(p)] for r in rows}
@@ -195,8 +272,7 @@ class QDAModel:
 
     def transform(self, df: DataFrame, prediction: str = "prediction",
                   probability: str = "probability") -> DataFrame:
-        s = self.scores()
-        return df.withColumn(prediction, _argmax(s)).withColumn(probability, _softmax(s))
+        return _score(df, self.scores(), prediction, probability)
 
 
 def qda(train: DataFrame, features: Sequence[str], label: str = "label", reg_param: float = 0.0) -> QDAModel:
