@@ -70,3 +70,10 @@ def test_repartition_invariance(spark):
     a = sorted(map(tuple, X.segment_rate(c, CATEGORICAL).collect()))
     b = sorted(map(tuple, X.segment_rate(c.repartition(13), CATEGORICAL).collect()))
     assert a == b
+
+
+def test_column_roles_excludes_label(spark):
+    from callsheet.sources.clients import clients
+    cats, nums = X.column_roles(clients(spark, "/root/testdata/sf0.001"), "y")
+    assert cats == ["job", "contact", "education", "month"]
+    assert nums == ["client_id", "balance", "amount", "day", "duration", "campaign"]
