@@ -3,6 +3,7 @@ imputation, one-hot encoding and the encoding pipeline (fit on train only)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -42,27 +43,79 @@ def rank_within_class(df: DataFrame, label: str, id_col: str, seed: int = SEED,
     return ranked.drop("_h", "_b", "_off")
 
 
+PART_BUCKET_DIGITS = 4  # 16**4 = 65,536 hash buckets per class for rank cuts
+
+
+def rank_parts(df: DataFrame, label: str, id_col: str, cuts, seed: int = SEED, out: str = "_part",
+               bucket_digits: int = PART_BUCKET_DIGITS) -> DataFrame:
+    """Part index of every row from rank cut points inside its class.
+
+    Rows are ordered inside their class by ``md5(id || seed)`` (ties by id);
+    ``cuts(n_class)`` gives ascending ranks t_1 < t_2 < ...; a row of rank r
+    gets part = #{t : t < r}. Equivalent to comparing ``row_number() OVER
+    (PARTITION BY label ORDER BY md5, id)`` with the cuts, but the big data
+    is never shuffled: a bucket histogram (classes x 65,536 rows at most)
+    tells which hash buckets lie wholly inside one part -- those rows get
+    their part map-side through a size-checked broadcast of the bucket table
+    -- and only the few buckets that straddle a cut (one per cut and class,
+    ~n / 65,536 rows each) are ranked with a window. The cut points (a few
+    per class) travel as a literal map.
+    """
+    from callsheet.session import broadcast_if_small
+    keyed = (df.withColumn("_h", seeded_hash(id_col, seed))
+             .withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("long")))
+    hist = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    sizes = {r[label]: int(r["n"]) for r in hist.groupBy(label).agg(F.sum("_bn").alias("n")).collect()}
+    pairs = []
+    for k, n in sizes.items():
+        pairs += [F.lit(k), F.array(F.lit(-1).cast("long"), *[F.lit(int(t)).cast("long") for t in cuts(n)])]
+    cut_map = F.create_map(*pairs)
+    mine = F.filter(cut_map[F.col(label)], lambda t: t >= 0)          # this row's class cut points
+    wcum = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = hist.withColumn("_lo", F.coalesce(F.sum("_bn").over(wcum), F.lit(0)))
+    # a bucket holds ranks _lo + 1 .. _lo + _bn; its part is known when no cut falls inside
+    inside = F.size(F.filter(mine, lambda t: (t > F.col("_lo")) & (t < F.col("_lo") + F.col("_bn"))))
+    below = F.size(F.filter(mine, lambda t: t <= F.col("_lo")))
+    table = buckets.select(label, "_b", "_lo", F.when(inside == 0, below).alias("_p"))
+    tagged = keyed.join(broadcast_if_small(table), [label, "_b"])
+    settled = tagged.where(F.col("_p").isNotNull()).select(*df.columns, F.col("_p").cast("int").alias(out))
+    w = Window.partitionBy(label, "_b").orderBy("_h", id_col)
+    ranked = (tagged.where(F.col("_p").isNull())
+              .withColumn("_r", F.col("_lo") + F.row_number().over(w)))
+    resolved = ranked.select(*df.columns, F.size(F.filter(mine, lambda t: t < F.col("_r"))).cast("int").alias(out))
+    return settled.unionByName(resolved)
+
+
 def split_stratified(df: DataFrame, label: str, id_col: str, frac: float = 0.5, seed: int = SEED,
                      out: str = "is_train") -> DataFrame:
     """Flag an exact stratified split: in each class the first
-    ``round(frac * n_class)`` rows by seeded hash are train."""
-    r = rank_within_class(df, label, id_col, seed)
-    return r.withColumn(out, F.col("_rank") <= F.round(F.col("_class_n") * F.lit(frac))).drop("_rank", "_class_n")
+    ``round(frac * n_class)`` rows by seeded hash are train (half up)."""
+    parts = rank_parts(df, label, id_col, lambda n: [int(math.floor(n * frac + 0.5))], seed)
+    return parts.withColumn(out, F.col("_part") == 0).drop("_part")
+
+
+def _fold_cuts(n: int, k: int) -> list[int]:
+    return [(j * n) // k for j in range(1, k)]
 
 
 def split_and_folds(df: DataFrame, label: str, id_col: str, frac: float = 0.5, k: int = 5, seed: int = SEED,
                     split_col: str = "is_train", fold_col: str = "fold") -> DataFrame:
-    """Split flag and fold number from one ranking pass (one shuffle)."""
-    r = rank_within_class(df, label, id_col, seed)
-    return (r.withColumn(split_col, F.col("_rank") <= F.round(F.col("_class_n") * F.lit(frac)))
-            .withColumn(fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_class_n"))
+    """Split flag and, for train rows, k contiguous stratified folds of the
+    hashed order (fold -1 on test rows), from one set of rank cuts."""
+    def cuts(n):
+        n_train = int(math.floor(n * frac + 0.5))
+        return sorted(set(_fold_cuts(n_train, k) + [n_train]))
+    parts = rank_parts(df, label, id_col, cuts, seed)
+    return (parts.withColumn(split_col, F.col("_part") < k)
+            .withColumn(fold_col, F.when(F.col("_part") < k, F.col("_part")).otherwise(-1).cast("int"))
+            .drop("_part"))
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = SEED,
                      out: str = "fold") -> DataFrame:
-    """Stratified k folds: rows of each class dealt round-robin by seeded hash."""
-    r = rank_within_class(df, label, id_col, seed)
-    return r.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_class_n")
+    """Stratified k folds: each class's hashed order cut into k contiguous
+    blocks of sizes differing by at most one."""
+    return rank_parts(df, label, id_col, lambda n: _fold_cuts(n, k), seed, out)
 
 
 # ------------------------------------------------------------------ scaling

@@ -25,8 +25,8 @@ def embedding_split(spark, sf_dir) -> DataFrame:
     """One double column per coordinate, exact stratified 50/50 split by label."""
     e = load_table(spark, sf_dir, "embeddings")
     cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIM)]
-    df = e.select(F.col("vec_id").alias("client_id"), "label", *cols)
-    return persist(P.split_stratified(df, "label", "client_id", 0.5, SEED))
+    df = persist(e.select(F.col("vec_id").alias("client_id"), "label", *cols))
+    return P.split_stratified(df, "label", "client_id", 0.5, SEED)
 
 
 EMB_CTE = ("emb AS (SELECT vec_id AS client_id, label, "

@@ -30,8 +30,8 @@ ALL = CATEGORICAL + NUMERIC
 def prepared(spark, sf_dir):
     """Train/test frames with the encoded ``features`` vector, the z-scored
     numeric columns for the closed forms and 5 stratified folds on train."""
-    c = clients(spark, sf_dir).withColumn("label", yes_no("y"))
-    lab = persist(P.split_and_folds(c, "label", "client_id", 0.5, 5, SEED))
+    c = persist(clients(spark, sf_dir).withColumn("label", yes_no("y")))
+    lab = P.split_and_folds(c, "label", "client_id", 0.5, 5, SEED)
     train = lab.where("is_train")
     prep = P.FeaturePrep(NUMERIC, CATEGORICAL).fit(train)
     stats = P.fit_standardize(train, L2_FEATURES)

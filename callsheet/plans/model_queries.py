@@ -31,10 +31,11 @@ SECONDS_PER_HOUR = 3600.0
 
 
 def labeled(spark, sf_dir) -> DataFrame:
-    c = clients(spark, sf_dir).withColumn("label", yes_no("y"))
-    # fits scan this frame several times: keep it instead of re-running the
-    # joins and the ranking shuffle for every pass
-    return persist(P.split_stratified(c, "label", "client_id", FRAC, SEED))
+    # the split reads its input three times (bucket histogram, settled rows,
+    # boundary rows) and fits scan the result again: keep the joined input
+    # instead of re-running the joins each time
+    c = persist(clients(spark, sf_dir).withColumn("label", yes_no("y")))
+    return P.split_stratified(c, "label", "client_id", FRAC, SEED)
 
 
 def scaled(spark, sf_dir, features=L2_FEATURES) -> DataFrame:
@@ -52,7 +53,9 @@ rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY md5(CAST(client_
                                     client_id) AS _rank,
               COUNT(*) OVER (PARTITION BY label) AS _class_n FROM lab),
 split AS (SELECT * EXCLUDE (_rank, _class_n), _rank <= round(_class_n * {FRAC}) AS is_train,
-                 CAST((_rank - 1) % 5 AS INTEGER) AS fold FROM rk)"""
+                 CAST((_rank > (_class_n * 1) // 5) AS INTEGER) + CAST((_rank > (_class_n * 2) // 5) AS INTEGER)
+                 + CAST((_rank > (_class_n * 3) // 5) AS INTEGER) + CAST((_rank > (_class_n * 4) // 5) AS INTEGER)
+                 AS fold FROM rk)"""
 
 
 def _scaled_cte(src: str = "split", name: str = "sc", features=L2_FEATURES) -> str:

@@ -113,3 +113,16 @@ def test_report_invariants(spark):
 def test_vote_majority(spark):
     df = spark.createDataFrame([(1, 1, 0), (0, 0, 1), (1, 1, 1)], "a int, b int, c int")
     assert [r["prediction"] for r in MD.vote(df, ["a", "b", "c"]).collect()] == [1, 0, 1]
+
+
+def test_rank_parts_matches_window_cuts(spark):
+    df = spark.range(0, 2000).withColumn("label", (F.col("id") % 5 == 0).cast("int"))
+    cuts = lambda n: [n // 4, n // 2, (3 * n) // 4]
+    got = P.rank_parts(df, "label", "id", cuts, 6932, "part", bucket_digits=1)
+    w = Window.partitionBy("label").orderBy(seeded_hash("id", 6932), "id")
+    ref = df.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    ref = ref.withColumn("want", (F.col("r") > F.floor(F.col("n") / 4)).cast("int")
+                         + (F.col("r") > F.floor(F.col("n") / 2)).cast("int")
+                         + (F.col("r") > F.floor(F.col("n") * 3 / 4)).cast("int"))
+    j = got.join(ref, ["id", "label"])
+    assert j.count() == 2000 and j.where(F.col("part") != F.col("want")).count() == 0
