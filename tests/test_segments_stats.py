@@ -89,3 +89,17 @@ def test_svd_variance_and_elbow_invariants(spark):
     lab1, _ = SG.kmeans(v, "f", 3, 11)
     lab2, _ = SG.kmeans(v, "f", 3, 11)
     assert sorted(map(tuple, lab1.select("a", "cluster").collect())) == sorted(map(tuple, lab2.select("a", "cluster").collect()))
+
+
+def test_dbscan_dense_cells_and_duplicates(spark):
+    rng = np.random.default_rng(11)
+    a = rng.normal([0, 0], 0.05, (150, 2))
+    b = rng.normal([0.45, 0.0], 0.05, (150, 2))
+    dup = np.repeat([[1.5, 1.5]], 40, axis=0)            # coincident points
+    line = np.column_stack([np.linspace(2.0, 3.0, 30), np.full(30, 2.0)])
+    pts = np.vstack([a, b, dup, line])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
+    for eps, mp in ((0.12, 10), (0.05, 5)):
+        out = {r["id"]: (r["cluster"], r["is_core"]) for r in D.dbscan(df, "id", "x", "y", eps, mp).collect()}
+        lab, core = brute_dbscan(pts, eps, mp)
+        assert all(out[i] == (lab[i], bool(core[i])) for i in range(len(pts)))
