@@ -118,12 +118,27 @@ def unpivot_typed(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
 # summaries and counts
 # --------------------------------------------------------------------------
 
-def _quartiles(value: Column, exact: bool) -> Column:
-    if exact:
-        # Exact percentile keeps a value -> count map per group: its size is
-        # bounded by the number of distinct values, not by the rows.
-        return F.percentile(value, [0.25, 0.5, 0.75])
-    return F.percentile_approx(value, [0.25, 0.5, 0.75], 10000)
+QUARTILES = ([0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+
+
+def _with_quartiles(long: DataFrame, keys: list[str], aggs: list[Column], exact: bool) -> DataFrame:
+    """Grouped aggregates plus quartiles of ``value`` per key group.
+
+    Exact quartiles come from :func:`callsheet.operators.quantiles.exact_quantiles`
+    (interval narrowing over histograms; no group is gathered in one task) and
+    are joined to the one-pass aggregates on the (small) group keys;
+    ``exact=False`` uses ``percentile_approx`` in the same pass.
+    """
+    probs, names = QUARTILES
+    if not exact:
+        q = F.percentile_approx(F.col("value"), probs, 10000)
+        out = long.groupBy(*keys).agg(*aggs, q.alias("_q"))
+        return out.select(*[c for c in out.columns if c != "_q"],
+                          *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    from callsheet.operators.quantiles import quantile_columns
+    main = long.groupBy(*keys).agg(*aggs)
+    quart = quantile_columns(long, keys, "value", probs, names)
+    return main.join(quart, keys, "left")
 
 
 def describe(df: DataFrame, cols: Sequence[str], by: str | None = None, exact: bool = True) -> DataFrame:
@@ -131,14 +146,11 @@ def describe(df: DataFrame, cols: Sequence[str], by: str | None = None, exact: b
     numeric column, long form: (by?, feature, count, mean, std, min, p25, p50, p75, max)."""
     keep = [by] if by else []
     long = unpivot_values(df, cols, keep, as_text=False)
-    q = _quartiles(F.col("value"), exact)
-    out = (long.groupBy(*keep, "feature")
-           .agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
-                F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                q.alias("_q"), F.max("value").alias("max")))
-    return out.select(*keep, "feature", "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                      F.col("_q")[2].alias("p75"), "max")
+    out = _with_quartiles(long, keep + ["feature"],
+                          [F.count("value").alias("count"), F.avg("value").alias("mean"),
+                           F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+                           F.max("value").alias("max")], exact)
+    return out.select(*keep, "feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -230,12 +242,10 @@ def distribution(df: DataFrame, cols: Sequence[str], by: str, limits: Mapping[st
     """Per (feature, class): n, mean, min, quartiles, max of each numeric
     column, each column cut by its own strict upper limit (others uncut)."""
     long = _cut_long(df, cols, by, limits)
-    q = _quartiles(F.col("value"), exact)
-    out = long.groupBy("feature", by).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"),
-        q.alias("_q"), F.max("value").alias("max"))
-    return out.select("feature", by, "n", "mean", "min", F.col("_q")[0].alias("p25"),
-                      F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    out = _with_quartiles(long, ["feature", by],
+                          [F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"),
+                           F.max("value").alias("max")], exact)
+    return out.select("feature", by, "n", "mean", "min", "p25", "p50", "p75", "max")
 
 
 def _cut_long(df: DataFrame, cols: Sequence[str], by: str, limits: Mapping[str, float] | None) -> DataFrame:

@@ -212,13 +212,16 @@ def nearest_centroid(train: DataFrame, features: Sequence[str], label: str = "la
     towards 0 by ``shrink_threshold``."""
     features = list(features)
     p = len(features)
-    extra = []
-    if metric == "manhattan":
-        extra = [F.percentile(F.col(f).cast("double"), 0.5).alias(f"med_{i}") for i, f in enumerate(features)]
-    rows = _class_moments(train, features, label, extra, squares=shrink_threshold is not None)
+    rows = _class_moments(train, features, label, squares=shrink_threshold is not None)
     classes = [int(r[label]) for r in rows]
-    key = "med" if metric == "manhattan" else "m"
-    cent = {int(r[label]): [r[f"{key}_{j}"] for j in range(p)] for r in rows}
+    cent = {int(r[label]): [r[f"m_{j}"] for j in range(p)] for r in rows}
+    if metric == "manhattan":
+        # class medians, exact, without gathering a class into one task
+        from callsheet.operators.quantiles import exact_quantiles
+        long = train.select(label, F.inline(F.array(*[
+            F.struct(F.lit(j).alias("_j"), F.col(f).cast("double").alias("_x")) for j, f in enumerate(features)])))
+        for r in exact_quantiles(long, [label, "_j"], "_x", [0.5]).collect():
+            cent[int(r[label])][int(r["_j"])] = r["q"]
     if shrink_threshold is not None:
         n = sum(r["_n"] for r in rows)
         k = len(rows)
