@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsheet.functions.columns import seeded_hash
+from callsheet.session import BROADCAST_MAX_ROWS
 
 SEED = 6932  # the reference's single seed
 HASH_BUCKET_DIGITS = 5  # 16**5 = 1,048,576 buckets per class
@@ -61,7 +62,6 @@ def rank_parts(df: DataFrame, label: str, id_col: str, cuts, seed: int = SEED, o
     ~n / 65,536 rows each) are ranked with a window. The cut points (a few
     per class) travel as a literal map.
     """
-    from callsheet.session import broadcast_if_small
     keyed = (df.withColumn("_h", seeded_hash(id_col, seed))
              .withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("long")))
     hist = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
@@ -77,7 +77,10 @@ def rank_parts(df: DataFrame, label: str, id_col: str, cuts, seed: int = SEED, o
     inside = F.size(F.filter(mine, lambda t: (t > F.col("_lo")) & (t < F.col("_lo") + F.col("_bn"))))
     below = F.size(F.filter(mine, lambda t: t <= F.col("_lo")))
     table = buckets.select(label, "_b", "_lo", F.when(inside == 0, below).alias("_p"))
-    tagged = keyed.join(broadcast_if_small(table), [label, "_b"])
+    # the bucket table has at most classes x 16**digits rows: broadcast when
+    # that bound is small, otherwise leave the join to the planner
+    bound = len(sizes) * 16 ** bucket_digits
+    tagged = keyed.join(F.broadcast(table) if bound <= BROADCAST_MAX_ROWS else table, [label, "_b"])
     settled = tagged.where(F.col("_p").isNotNull()).select(*df.columns, F.col("_p").cast("int").alias(out))
     w = Window.partitionBy(label, "_b").orderBy("_h", id_col)
     ranked = (tagged.where(F.col("_p").isNull())

@@ -14,6 +14,9 @@ order statistic is found by narrowing a value interval pass by pass:
 3. a target is settled when its interval holds one distinct value or at
    most ``max_rows`` rows; those few rows are ranked with a window.
 
+Groups that hold at most ``max_rows`` rows in total skip the narrowing and
+use Spark's exact ``percentile`` directly: its value map is then bounded.
+
 Work per pass is one filtered scan; the number of passes is small (each
 cuts the interval 65,536-fold).
 """
@@ -36,9 +39,26 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                     buckets: int = BUCKETS, max_rows: int = MAX_ROWS) -> DataFrame:
     """(keys..., p, q): exact quantiles of ``value`` per key group."""
     keys = list(keys)
+    plist = [float(p) for p in probs]
+
+    def by_percentile(frame: DataFrame) -> DataFrame:
+        return (frame.groupBy(*keys).agg(F.percentile("_v", plist).alias("_qs"))
+                .select(*keys, F.inline(F.arrays_zip(F.array(*[F.lit(p) for p in plist]).alias("p"),
+                                                     F.col("_qs").alias("q")))))
+
     base = persist(df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
-    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"),
-                                    F.max("_v").alias("_mx"))
+    # groups of at most max_rows rows: Spark's exact percentile, whose value
+    # map is then bounded by max_rows; only bigger groups are narrowed
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.where(F.col("_n") > max_rows).limit(1).count() == 0:
+        out = by_percentile(base).checkpoint()
+        base.unpersist()
+        return out
+    stats = persist(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"),
+                                            F.max("_v").alias("_mx")))
+    small_keys = broadcast_if_small(stats.where(F.col("_n") <= max_rows).select(*keys))
+    small = by_percentile(base.join(small_keys, keys))
+    stats = stats.where(F.col("_n") > max_rows)
     h = (F.col("_n") - 1) * F.col("_p")
     wanted = (stats.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
               .withColumn("_h", h)
@@ -87,7 +107,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
            .join(lo_v, keys + ["_r1"]).join(hi_v, keys + ["_r2"])
            .select(*keys, F.col("_p").alias("p"),
                    (F.col("_v1") + (F.col("_h") - F.floor("_h")) * (F.col("_v2") - F.col("_v1"))).alias("q")))
-    out = out.checkpoint()          # small result; frees the working copies
+    out = out.unionByName(small).checkpoint()          # small result; frees the working copies
     base.unpersist()
     wanted.unpersist()
     return out

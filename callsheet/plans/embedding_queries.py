@@ -13,7 +13,7 @@ from callsheet.operators import prep as P
 from callsheet.operators import segments as SG
 from callsheet.plans.model_queries import _centroid_cte, _gnb_cte
 from callsheet.plans.registry import query
-from callsheet.session import persist
+from callsheet.session import materialize, persist
 from callsheet.sources.io import load_table
 
 SEED = P.SEED
@@ -26,7 +26,7 @@ def embedding_split(spark, sf_dir) -> DataFrame:
     e = load_table(spark, sf_dir, "embeddings")
     cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIM)]
     df = persist(e.select(F.col("vec_id").alias("client_id"), "label", *cols))
-    return P.split_stratified(df, "label", "client_id", 0.5, SEED)
+    return materialize(P.split_stratified(df, "label", "client_id", 0.5, SEED), df)
 
 
 EMB_CTE = ("emb AS (SELECT vec_id AS client_id, label, "

@@ -21,7 +21,7 @@ from callsheet.operators import stats as S
 from callsheet.operators import tuning as T
 from callsheet.plans.model_queries import L2_FEATURES, SEED, labeled
 from callsheet.plans.registry import query
-from callsheet.session import persist
+from callsheet.session import materialize, persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
 
 ALL = CATEGORICAL + NUMERIC
@@ -31,7 +31,7 @@ def prepared(spark, sf_dir):
     """Train/test frames with the encoded ``features`` vector, the z-scored
     numeric columns for the closed forms and 5 stratified folds on train."""
     c = persist(clients(spark, sf_dir).withColumn("label", yes_no("y")))
-    lab = P.split_and_folds(c, "label", "client_id", 0.5, 5, SEED)
+    lab = materialize(P.split_and_folds(c, "label", "client_id", 0.5, 5, SEED), c)
     train = lab.where("is_train")
     prep = P.FeaturePrep(NUMERIC, CATEGORICAL).fit(train)
     stats = P.fit_standardize(train, L2_FEATURES)

@@ -17,7 +17,7 @@ from callsheet.operators import metrics as M
 from callsheet.operators import models as MD
 from callsheet.operators import prep as P
 from callsheet.plans.registry import query
-from callsheet.session import persist
+from callsheet.session import materialize, persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
 
 SEED = P.SEED
@@ -35,7 +35,7 @@ def labeled(spark, sf_dir) -> DataFrame:
     # boundary rows) and fits scan the result again: keep the joined input
     # instead of re-running the joins each time
     c = persist(clients(spark, sf_dir).withColumn("label", yes_no("y")))
-    return P.split_stratified(c, "label", "client_id", FRAC, SEED)
+    return materialize(P.split_stratified(c, "label", "client_id", FRAC, SEED), c)
 
 
 def scaled(spark, sf_dir, features=L2_FEATURES) -> DataFrame:
@@ -442,8 +442,8 @@ def trimmed(spark, sf_dir) -> DataFrame:
 def two_layer(spark, sf_dir) -> DataFrame:
     """Layer 2: re-split the kept rows, nearest centroid on all numerics,
     predict every kept row. Returns (client_id, label, prediction, duration)."""
-    t = trimmed(spark, sf_dir)
-    t2 = persist(P.split_stratified(t, "label", "client_id", FRAC, SEED))
+    t = persist(trimmed(spark, sf_dir))
+    t2 = materialize(P.split_stratified(t, "label", "client_id", FRAC, SEED), t)
     stats = P.fit_standardize(t2.where("is_train"), L2_FEATURES)
     sc2 = P.apply_standardize(t2.withColumn("raw_duration", F.col("duration")), stats)
     nc = MD.nearest_centroid(sc2.where("is_train"), L2_FEATURES, "label")

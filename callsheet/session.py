@@ -77,3 +77,13 @@ def persist(df: DataFrame) -> DataFrame:
     do not fit in memory spill to local disk, lost ones are recomputed from
     lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def materialize(df: DataFrame, *inputs: DataFrame) -> DataFrame:
+    """Persist ``df`` and fill the cache now, then release the persisted
+    ``inputs`` it was computed from (several fits will scan ``df``)."""
+    out = persist(df)
+    out.count()
+    for i in inputs:
+        i.unpersist()
+    return out
