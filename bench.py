@@ -1,8 +1,8 @@
 """Bench: wall seconds per headline query at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is run to completion through the no-op sink (every row is
-produced, nothing is collected to the driver). One untimed warm-up query
-on the smallest tables warms the JVM, codegen caches and imports first. Prints one JSON line.
+produced, nothing is collected to the driver). Untimed warm-up queries
+on the smallest tables warm the JVM, codegen caches and imports first. Prints one JSON line.
 """
 
 from __future__ import annotations
