@@ -265,6 +265,7 @@ def histogram(df: DataFrame, cols: Sequence[str], by: str, bins: int = 20,
     long = _cut_long(df, cols, by, limits)
     edges = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+    # one row per feature: the broadcast is bounded by the column list
     binned = (long.join(F.broadcast(edges), "feature")
               .withColumn("bin", F.when(width == 0, F.lit(0)).otherwise(
                   F.least(F.floor((F.col("value") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int"))
