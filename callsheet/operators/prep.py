@@ -107,7 +107,7 @@ def split_and_folds(df: DataFrame, label: str, id_col: str, frac: float = 0.5, k
     hashed order (fold -1 on test rows), from one set of rank cuts."""
     def cuts(n):
         n_train = int(math.floor(n * frac + 0.5))
-        return sorted(set(_fold_cuts(n_train, k) + [n_train]))
+        return _fold_cuts(n_train, k) + [n_train]     # coinciding cuts count twice, as defined
     parts = rank_parts(df, label, id_col, cuts, seed)
     return (parts.withColumn(split_col, F.col("_part") < k)
             .withColumn(fold_col, F.when(F.col("_part") < k, F.col("_part")).otherwise(-1).cast("int"))

@@ -77,6 +77,27 @@ def q_formula_ols(spark, sf_dir):
     return S.formula_ols(c, "duration ~ label").select("model", "term", "coefficient")
 
 
+def _ols_job_sql() -> str:
+    return """
+    WITH g AS (SELECT job, COUNT(*) AS n, AVG(duration) AS m FROM clients WHERE job IS NOT NULL GROUP BY job),
+    r AS (SELECT job AS rjob, n AS rn, m AS rm FROM g ORDER BY job LIMIT 1),
+    s2 AS (SELECT SUM(pow(c.duration - g.m, 2)) / (SUM(1) - (SELECT COUNT(*) FROM g)) AS v
+           FROM clients c JOIN g ON c.job = g.job)
+    SELECT 'duration ~ job' AS model, 'Intercept' AS term, r.rm AS coefficient, sqrt(s2.v / r.rn) AS std_error
+    FROM r, s2
+    UNION ALL
+    SELECT 'duration ~ job', 'job_' || g.job, g.m - r.rm, sqrt(s2.v * (1.0 / g.n + 1.0 / r.rn))
+    FROM g, r, s2 WHERE g.job <> r.rjob"""
+
+
+@query("formula_ols_categorical", _ols_job_sql(), rnd=("coefficient", "std_error"))
+def q_formula_ols_categorical(spark, sf_dir):
+    """OLS on one categorical column: coefficients are group-mean
+    differences, standard errors come from the pooled residual variance."""
+    c = clients(spark, sf_dir)
+    return S.formula_ols(c, "duration ~ job").select("model", "term", "coefficient", "std_error")
+
+
 @query("formula_ols_table")
 def q_formula_ols_table(spark, sf_dir):
     c = clients(spark, sf_dir).withColumn("label", yes_no("y").cast("double"))
@@ -189,7 +210,33 @@ def q_param_search(spark, sf_dir):
     return trials
 
 
-@query("cv_score")
+def _cv_sql() -> str:
+    f = L2_FEATURES
+    folds = " + ".join(f"CAST(_rank > (ntr * {j}) // 5 AS INTEGER)" for j in range(1, 5))
+    st = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in f)
+    z = ", ".join(f"(CAST(t.{c} AS DOUBLE) - st.m_{c}) / CASE WHEN st.s_{c} > 0 THEN st.s_{c} ELSE 1 END AS {c}"
+                  for c in f)
+    cent = ", ".join(f"AVG(z.{c}) AS m_{c}" for c in f)
+    dist = " + ".join(f"pow(z.{c} - k.m_{c}, 2)" for c in f)
+    return f"""
+    WITH lab AS (SELECT *, CASE WHEN y = 'yes' THEN 1 ELSE 0 END AS label FROM clients),
+    rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY md5(CAST(client_id AS VARCHAR) || '{SEED}'),
+                                        client_id) AS _rank,
+                  CAST(round(COUNT(*) OVER (PARTITION BY label) * 0.5) AS BIGINT) AS ntr FROM lab),
+    tr AS (SELECT *, {folds} AS fold FROM rk WHERE _rank <= ntr),
+    st AS (SELECT {st} FROM tr),
+    z AS (SELECT t.client_id, t.label, t.fold, {z} FROM tr t, st),
+    k AS (SELECT o.k AS held, z.label AS c, {cent} FROM z, (SELECT DISTINCT fold AS k FROM z) o
+          WHERE z.fold <> o.k GROUP BY o.k, z.label),
+    d AS (SELECT z.client_id, z.label, z.fold, k.c, -({dist}) AS s FROM z JOIN k ON k.held = z.fold),
+    pred AS (SELECT client_id, label, fold, FIRST(c ORDER BY s DESC, c) AS prediction FROM d
+             GROUP BY client_id, label, fold),
+    acc AS (SELECT fold, AVG(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM pred
+            GROUP BY fold)
+    SELECT fold, accuracy FROM acc UNION ALL SELECT -1 AS fold, AVG(accuracy) AS accuracy FROM acc"""
+
+
+@query("cv_score", _cv_sql(), rnd=("accuracy",))
 def q_cv_score(spark, sf_dir):
     train, _, _ = prepared(spark, sf_dir)
     return T.cv_score(C.NearestCentroidClassifier(inputCols=L2_FEATURES), train, 5)
