@@ -121,6 +121,12 @@ def q_gower_to_landmarks(spark, sf_dir):
     return G.gower_to_landmarks(subscribers(spark, sf_dir), "client_id", NUMERIC, CATEGORICAL, N_LANDMARKS, SEED)
 
 
+@query("gower_encoded")
+def q_gower_encoded(spark, sf_dir):
+    """The notebook's variant: Gower on the encoded (one-hot + scaled) vector."""
+    return G.gower_encoded(encoded(spark, sf_dir), "client_id", "features", N_LANDMARKS, SEED)
+
+
 def gower_segmented(spark, sf_dir) -> DataFrame:
     vec = G.gower_vectors(subscribers(spark, sf_dir), "client_id", NUMERIC, CATEGORICAL, N_LANDMARKS, SEED)
     pca, _ = SG.pca_project(vec, "gower_vec", 2, "gpca")

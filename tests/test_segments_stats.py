@@ -103,3 +103,17 @@ def test_dbscan_dense_cells_and_duplicates(spark):
         out = {r["id"]: (r["cluster"], r["is_core"]) for r in D.dbscan(df, "id", "x", "y", eps, mp).collect()}
         lab, core = brute_dbscan(pts, eps, mp)
         assert all(out[i] == (lab[i], bool(core[i])) for i in range(len(pts)))
+
+
+def test_gower_encoded_matches_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 3))
+    x[:, 2] = 1.0                                          # constant slot
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    v = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df)
+    got = {(r["id_a"], r["landmark"]): r["d"] for r in G.gower_encoded(v, "id", "f", 30).collect()}
+    rng_ = x.max(0) - x.min(0)
+    inv = np.where(rng_ > 0, 1 / np.where(rng_ > 0, rng_, 1), 0.0)
+    for (a, b), d in got.items():
+        assert abs(d - (np.abs(x[a] - x[b]) * inv).sum() / 3) < 1e-12
+    assert len(got) == 900
