@@ -212,19 +212,25 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(_inline(rows))
 
 
-def dense_counts(df: DataFrame, key: str, by: str) -> DataFrame:
+MAX_SPAN = 10_000_000
+
+
+def dense_counts(df: DataFrame, key: str, by: str, max_span: int = MAX_SPAN) -> DataFrame:
     """Count per (key, by) for every integer key from min to max, zero-filled,
     for every class of ``by``.
 
     The spine is built from one aggregate row (min, max, set of classes): its
-    size is (max - min + 1) x classes, bounded by the key's range, and it is
-    outer-joined to the grouped counts; no cross join.
+    size is (max - min + 1) x classes, bounded by the key's range (checked
+    against ``max_span`` at run time), and it is outer-joined to the grouped
+    counts; no cross join.
     """
     counts = (df.where(F.col(key).isNotNull() & F.col(by).isNotNull())
               .groupBy(key, by).agg(F.count(F.lit(1)).alias("n_obs")))
+    span = F.col("_hi").cast("long") - F.col("_lo").cast("long") + 1
+    seq = F.when(span <= max_span, F.sequence(F.col("_lo").cast("long"), F.col("_hi").cast("long"))) \
+        .otherwise(F.raise_error(F.lit(f"dense_counts: key range wider than {max_span}")))
     spine = (df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.collect_set(by).alias("_cls"))
-             .select(F.explode(F.sequence(F.col("_lo").cast("long"), F.col("_hi").cast("long"))).alias(key),
-                     "_cls")
+             .select(F.explode(seq).alias(key), "_cls")
              .select(key, F.explode("_cls").alias(by)))
     counts = counts.withColumn(key, F.col(key).cast("long"))
     joined = spine.join(counts, [key, by], "full_outer")

@@ -42,7 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` is used as is; only when the
-    setting is unset (local tests) a scratch folder is created and set.
+    setting is unset and the master is local (tests) a scratch folder is
+    created and set. On a cluster without the setting this raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        # a machine-local folder would not survive the loss of an executor
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster")
     local = tempfile.mkdtemp(prefix="callsheet-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
