@@ -117,3 +117,12 @@ def test_gower_encoded_matches_numpy(spark):
     for (a, b), d in got.items():
         assert abs(d - (np.abs(x[a] - x[b]) * inv).sum() / 3) < 1e-12
     assert len(got) == 900
+
+
+def test_connected_components_long_chain(spark):
+    n = 200
+    nodes = spark.range(0, n).withColumnRenamed("id", "node")
+    e = [(i, i + 1) for i in range(n - 1) if i != 120] + [(i + 1, i) for i in range(n - 1) if i != 120]
+    edges = spark.createDataFrame(e, "src long, dst long")
+    lab = {r["node"]: r["label"] for r in D.connected_components(nodes, edges).collect()}
+    assert all(lab[i] == (0 if i <= 120 else 121) for i in range(n))
