@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from callsheet.functions.columns import seeded_hash
 from callsheet.session import BROADCAST_MAX_ROWS
 
-SEED = 6932  # the reference's single seed
+# Fixed value (the notebooks' single random seed):
+SEED = 6932
 HASH_BUCKET_DIGITS = 5  # 16**5 = 1,048,576 buckets per class
 
 

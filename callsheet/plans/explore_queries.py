@@ -12,6 +12,7 @@ from callsheet.session import scratch_path
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
 from callsheet.sources.io import load_table, sql_over, write_table
 
+# Fixed values (the notebooks' per-column display cutoffs, strict upper bounds):
 CUTOFFS = {"balance": 10000, "duration": 2000, "campaign": 10}
 ALL_COLS = CATEGORICAL + NUMERIC
 

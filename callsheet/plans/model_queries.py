@@ -21,6 +21,7 @@ from callsheet.session import materialize, persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
 
 SEED = P.SEED
+# Fixed values (the notebooks' settings): 50/50 split, trim at P(no) >= 0.99
 FRAC = 0.5
 L1_FEATURES = ["balance", "amount"]          # first layer: no call columns
 L2_FEATURES = list(NUMERIC)                  # second layer: all numerics

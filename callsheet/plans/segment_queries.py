@@ -18,6 +18,8 @@ from callsheet.plans.registry import query
 from callsheet.session import persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
 
+# Fixed values (the notebooks' settings): seed, 22 SVD components, k-means k = 3 on the
+# embedding and 5 on the Gower rows, DBSCAN eps 0.3 with 25 points (self included)
 SEED = 6932
 SVD_K = 22
 KMEANS_K = 3
