@@ -307,7 +307,7 @@ def _common_sql(src: str, cols, keep=()) -> str:
       SELECT {k}feature, count, num_value AS mode_num, str_value AS mode_str, _n AS mode_n FROM (
         SELECT *, ROW_NUMBER() OVER ({part} ORDER BY _n DESC, num_value ASC NULLS FIRST,
                                      str_value ASC NULLS FIRST) AS rn,
-               SUM(_n) OVER ({part}) AS count
+               CAST(SUM(_n) OVER ({part}) AS BIGINT) AS count
         FROM (SELECT {k}feature, num_value, str_value, COUNT(*) AS _n
               FROM ({typed_long_sql(src, cols, set(NUMERIC), keep)}) AS _t
               WHERE num_value IS NOT NULL OR str_value IS NOT NULL

@@ -45,6 +45,9 @@ def test_query_matches_duckdb(spark, con, name):
     drows = res.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
     assert _digest(sdf.columns, srows) == _digest(dcols, drows)
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    assert {n: types.get(t, t) for n, t in sdf.dtypes} == duck_types
 
 
 def test_entry_runs(spark):
