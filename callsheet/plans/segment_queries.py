@@ -154,6 +154,18 @@ def q_dbscan_2d(spark, sf_dir):
     return D.dbscan(emb, "client_id", "x", "y", DBSCAN_EPS, DBSCAN_MIN)
 
 
+# Fixed values (the notebooks' first density run, on the Gower rows): eps 1.5, 4 points
+GOWER_DBSCAN_EPS = 1.5
+GOWER_DBSCAN_MIN = 4
+
+
+@query("dbscan_gower")
+def q_dbscan_gower(spark, sf_dir):
+    """Density clusters of the Gower rows (here their 2-D PCA embedding)."""
+    emb = gower_segmented(spark, sf_dir)
+    return D.dbscan(emb, "client_id", "pc1", "pc2", GOWER_DBSCAN_EPS, GOWER_DBSCAN_MIN)
+
+
 BALANCE_EDGES = (2000.0, 6000.0)
 
 
