@@ -346,6 +346,18 @@ def measure_table(df: DataFrame, by: str, picks: Sequence[tuple[str, str]]) -> D
     return res
 
 
+def measure_table_wide(df: DataFrame, by: str, picks: Sequence[tuple[str, str]], groups: Sequence) -> DataFrame:
+    """The measure table as stat x group: one row per measure, columns
+    ``text_<g>`` / ``num_<g>`` per group (group values given, so no extra
+    distinct job)."""
+    long = measure_table(df, by, picks)
+    wide = long.groupBy("measure").pivot(by, list(groups)).agg(F.max("text_value").alias("text"),
+                                                              F.max("num_value").alias("num"))
+    for g in groups:
+        wide = (wide.withColumnRenamed(f"{g}_text", f"text_{g}").withColumnRenamed(f"{g}_num", f"num_{g}"))
+    return wide
+
+
 def centroids(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
     """Mean of each coordinate per group."""
     return df.groupBy(by).agg(*[F.avg(c).alias(c) for c in cols])

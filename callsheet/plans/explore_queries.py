@@ -369,6 +369,17 @@ def q_measure_table(spark, sf_dir):
     return X.measure_table(banded(spark, sf_dir), "cluster", MEASURE_PICKS)
 
 
+def _measure_wide_sql() -> str:
+    cols = ", ".join(f"MAX(text_value) FILTER (WHERE cluster = {g}) AS text_{g}, "
+                     f"MAX(num_value) FILTER (WHERE cluster = {g}) AS num_{g}" for g in (0, 1, 2))
+    return f"SELECT measure, {cols} FROM ({_measure_sql()}) AS _m GROUP BY measure"
+
+
+@query("measure_table_wide", _measure_wide_sql(), rnd=("num_0", "num_1", "num_2"))
+def q_measure_table_wide(spark, sf_dir):
+    return X.measure_table_wide(banded(spark, sf_dir), "cluster", MEASURE_PICKS, [0, 1, 2])
+
+
 @query("cluster_centroids", f"WITH {BANDED_CTE} SELECT cluster, AVG(balance) AS balance, AVG(amount) AS amount "
        "FROM banded GROUP BY cluster", rnd=("balance", "amount"))
 def q_cluster_centroids(spark, sf_dir):
