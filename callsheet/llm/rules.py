@@ -90,12 +90,12 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior:
     """EM over vote pattern -> documents. Returns the share of good documents
     and each rule's accuracy on good and on bad ones, given that it votes.
 
-    The start is the majority of the votes, so that class 1 stays the one the
-    rules call good; accuracies are held at 0.5 or more, for a rule that is
-    wrong more often than right would only swap the classes' names.
+    Most rules see one kind of fault, so a document counts as bad at the start
+    if any rule says so. No rule may vote for good more often on bad documents
+    than on good ones: its votes would only swap the classes' names.
     """
     n_rules = len(next(iter(patterns), ()))
-    post = {p: 1 / (1 + math.exp(-2 * sum(p))) if sum(p) else prior for p in patterns}
+    post = {p: 1 / (1 + math.exp(3 * p.count(-1) - 2)) for p in patterns}
     share, right = prior, [(0.7, 0.7)] * n_rules
     for _ in range(rounds):
         total = sum(patterns.values())
@@ -104,7 +104,8 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior:
         for j in range(n_rules):
             good = {v: sum(n * post[p] for p, n in patterns.items() if p[j] == v) + SMOOTH for v in (1, -1)}
             bad = {v: sum(n * (1 - post[p]) for p, n in patterns.items() if p[j] == v) + SMOOTH for v in (1, -1)}
-            right.append((max(0.5, good[1] / (good[1] + good[-1])), max(0.5, bad[-1] / (bad[1] + bad[-1]))))
+            on_good = good[1] / (good[1] + good[-1])
+            right.append((on_good, max(1 - on_good, bad[-1] / (bad[1] + bad[-1]))))
         post = {p: 1 / (1 + math.exp(-_logit(p, share, right))) for p in patterns}
     return share, right
 
@@ -112,7 +113,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior:
 def _weights(right: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
     """Log-odds that a vote for good, and one for bad, adds."""
     return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in
-            ((min(g, 0.999), min(b, 0.999)) for g, b in right)]
+            ((min(max(x, 0.001), 0.999) for x in pair) for pair in right)]
 
 
 def _logit(pattern: Sequence[int], share: float, right: Sequence[tuple[float, float]]) -> float:
