@@ -132,7 +132,11 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 def words(col: pa.Array, is_word: np.ndarray, fold: np.ndarray | None = None) -> Words:
     """Words of every text of a column; ``is_word`` says which bytes belong to
     words, ``fold`` maps bytes first (for lower-casing)."""
-    buf, offs = buffers(col)
+    return words_of(*buffers(col), is_word, fold)
+
+
+def words_of(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None) -> Words:
+    """The same for texts that lie in ``buf`` at ``offs``."""
     if fold is not None:
         buf = fold[buf]
     n = len(buf)
