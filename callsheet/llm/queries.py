@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import decontam, licences, mixing, rules, sharding, substring
+from callsheet.llm import decontam, licences, mixing, ngram_lm, rules, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -159,3 +159,11 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_sentences", F.size("sentence_ids").cast("long").alias("n_known"),
                       F.array_join("sentence_ids", "/").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, its language's threshold and the verdict per document."""
+    got = ngram_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select(F.col("id").alias("doc_id"), "lang", "trusted", F.round(F.exp("log_perplexity"), 4).alias("perplexity"),
+                      F.round(F.exp("threshold"), 4).alias("threshold"), "kept")
