@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import decontam, licences, mixing, ngram_lm, rules, sharding, substring
+from callsheet.llm import decontam, jaccard, licences, mixing, ngram_lm, rules, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -167,3 +167,29 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ngram_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select(F.col("id").alias("doc_id"), "lang", "trusted", F.round(F.exp("log_perplexity"), 4).alias("perplexity"),
                       F.round(F.exp("threshold"), 4).alias("threshold"), "kept")
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS t FROM d),
+-- documents of one set are one class; only one stands for it
+c AS (SELECT list_sort(t) AS t, min(doc_id) AS c, len(any_value(t)) AS n FROM s WHERE len(t) > 0 GROUP BY 1),
+-- of two linked sets, each holds at least 90% of the other: they share one of the first tenth (and one) of the tokens in any order
+p AS (SELECT c, n, unnest(t[1:n - (9 * n + 9) // 10 + 1]) AS x FROM c),
+k AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM (SELECT k.a, k.b, len(list_intersect(x.t, y.t)) AS i, x.n + y.n AS n
+      FROM k JOIN c x ON x.c = k.a JOIN c y ON y.c = k.b) WHERE 100 * i >= 90 * (n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.t) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON len(s.t) > 0 AND list_sort(s.t) = c.t LEFT JOIN m ON m.a = c.c"""
+
+
+@query("op8_jaccard_join", JACCARD_SQL)
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-duplicate component of every document."""
+    got = jaccard.similar(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
