@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import decontam, jaccard, licences, mixing, ngram_lm, rules, sharding, substring
+from callsheet.llm import decontam, jaccard, licences, mixing, ngram_lm, rules, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -193,3 +193,13 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and near-duplicate component of every document."""
     got = jaccard.similar(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op9_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels are learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~toxicity.held_out(F.col("doc_id")))
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
