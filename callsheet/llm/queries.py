@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import decontam, jaccard, licences, mixing, ngram_lm, rules, sharding, substring, toxicity
+from callsheet.llm import decontam, jaccard, langid, licences, mixing, ngram_lm, rules, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -203,3 +203,12 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = toxicity.score(docs, model)
     return got.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; the held-out fold is not learned from."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn=~langid.held_out(F.col("doc_id")))
+    got = langid.identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
