@@ -91,12 +91,14 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 def parse_table(symbols: list[int]) -> np.ndarray:
     """The automaton as one array: where no longer match exists, the entry
-    starts a new phrase at the root and is flagged."""
+    starts a new phrase and is flagged. One more state, the last, stands after
+    a symbol that the text hasn't; such a symbol is a phrase of its own."""
     step = suffix_automaton(symbols)
-    root = np.zeros(SYMBOLS, np.int32)
+    root = np.full(SYMBOLS, len(step), np.int32)
     for c, to in step[0].items():
         root[c] = to
-    out = np.broadcast_to(root | ENDS, (len(step), SYMBOLS)).copy()
+    out = np.broadcast_to(root | ENDS, (len(step) + 1, SYMBOLS)).copy()
+    out[0] = root
     for state, to in enumerate(step):
         if to:
             out[state, list(to)] = list(to.values())
@@ -125,13 +127,11 @@ class Model:
         begin, n = start[order], size[order]
         state = np.repeat(np.array(self.start, np.int64)[:, None], len(order), 1)
         count = np.ones((len(self.langs), len(order)), np.int32)
-        root = np.array(self.start, np.int32)[:, None]
         active = len(order) - np.cumsum(np.bincount(n, minlength=int(n.max()) + 1)) if len(n) else []
         for j in range(int(n[0]) if len(n) else 0):
             m = int(active[j])
             got = self.table[state[:, :m] * SYMBOLS + symbols[begin[:m] + j]]
-            # the flag of a first symbol is not a phrase more: nothing was matched before it
-            count[:, :m] += (got < 0) & (state[:, :m] != root)
+            count[:, :m] += got < 0
             state[:, :m] = got & ~ENDS
         out = np.empty((len(order), len(self.langs)), np.int32)
         out[order] = count.T
