@@ -95,7 +95,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior:
     than on good ones: its votes would only swap the classes' names.
     """
     n_rules = len(next(iter(patterns), ()))
-    post = {p: 1 / (1 + math.exp(3 * p.count(-1) - 2)) for p in patterns}
+    post = {p: 1 / (1 + math.exp(6 * p.count(-1) - 4)) for p in patterns}
     share, right = prior, [(0.7, 0.7)] * n_rules
     for _ in range(rounds):
         total = sum(patterns.values())
