@@ -52,7 +52,7 @@ SHARD = 16_384
 BITS = 21
 CHAR, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 END, UNIT = CHAR, float(1 << 20)
-SLICE, SLICE_DOCS = 8 << 20, 60_000
+SLICE, SLICE_DOCS = 2 << 20, 60_000
 
 
 def trigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
