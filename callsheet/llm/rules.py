@@ -91,7 +91,9 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior:
     and each rule's accuracy on good and on bad ones, given that it votes.
 
     Most rules see one kind of fault, so a document counts as bad at the start
-    if any rule says so. No rule may vote for good more often on bad documents
+    if any rule says so, and a prior as heavy as the data holds that rules are
+    right on good documents (else faults that exclude each other look like
+    independent noise). No rule may vote for good more often on bad documents
     than on good ones: its votes would only swap the classes' names.
     """
     n_rules = len(next(iter(patterns), ()))
@@ -104,7 +106,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior:
         for j in range(n_rules):
             good = {v: sum(n * post[p] for p, n in patterns.items() if p[j] == v) + SMOOTH for v in (1, -1)}
             bad = {v: sum(n * (1 - post[p]) for p, n in patterns.items() if p[j] == v) + SMOOTH for v in (1, -1)}
-            on_good = good[1] / (good[1] + good[-1])
+            on_good = (good[1] + 0.999 * total) / (good[1] + good[-1] + total)
             right.append((on_good, max(1 - on_good, bad[-1] / (bad[1] + bad[-1]))))
         post = {p: 1 / (1 + math.exp(-_logit(p, share, right))) for p in patterns}
     return share, right
