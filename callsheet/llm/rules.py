@@ -40,7 +40,7 @@ RULES = {
     "bare_words": ("n_bare", "n_words", 0.05, 0.20),
     "word_length": ("word_chars", "n_words", 9.0, 14.0),
 }
-ROUNDS, PRIOR, SMOOTH = 50, 0.8, 1.0
+ROUNDS, PRIOR, SMOOTH = 50, 0.85, 1.0
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,16 +92,18 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS, prior:
 
     Most rules see one kind of fault, so a document counts as bad at the start
     if any rule says so, and a prior as heavy as the data holds that rules are
-    right on good documents (else faults that exclude each other look like
-    independent noise). No rule may vote for good more often on bad documents
+    right on good documents and that most documents are good (else faults that
+    exclude each other look like independent noise). No rule may vote for good more often on bad documents
     than on good ones: its votes would only swap the classes' names.
     """
-    n_rules = len(next(iter(patterns), ()))
+    if not patterns:
+        return prior, []
+    n_rules = len(next(iter(patterns)))
     post = {p: 1 / (1 + math.exp(6 * p.count(-1) - 4)) for p in patterns}
     share, right = prior, [(0.7, 0.7)] * n_rules
     for _ in range(rounds):
         total = sum(patterns.values())
-        share = (sum(n * post[p] for p, n in patterns.items()) + SMOOTH) / (total + 2 * SMOOTH)
+        share = (sum(n * post[p] for p, n in patterns.items()) + prior * total) / (2 * total)
         right = []
         for j in range(n_rules):
             good = {v: sum(n * post[p] for p, n in patterns.items() if p[j] == v) + SMOOTH for v in (1, -1)}
