@@ -138,7 +138,17 @@ def _with_quartiles(long: DataFrame, keys: list[str], aggs: list[Column], exact:
     from callsheet.operators.quantiles import quantile_columns
     main = long.groupBy(*keys).agg(*aggs)
     quart = quantile_columns(long, keys, "value", probs, names)
-    return main.join(quart, keys, "left")
+    return _join_groups(main, quart, keys)
+
+
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on group keys in which a null group meets itself."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = left[k].eqNullSafe(right[f"_r_{k}"])
+        on = same if on is None else on & same
+    return left.join(right, on, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def describe(df: DataFrame, cols: Sequence[str], by: str | None = None, exact: bool = True) -> DataFrame:
@@ -212,26 +222,20 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(_inline(rows))
 
 
-MAX_SPAN = 10_000_000
-
-
-def dense_counts(df: DataFrame, key: str, by: str, max_span: int = MAX_SPAN) -> DataFrame:
+def dense_counts(df: DataFrame, key: str, by: str) -> DataFrame:
     """Count per (key, by) for every integer key from min to max, zero-filled,
     for every class of ``by``.
 
-    The spine is built from one aggregate row (min, max, set of classes): its
-    size is (max - min + 1) x classes, bounded by the key's range (checked
-    against ``max_span`` at run time), and it is outer-joined to the grouped
-    counts; no cross join.
+    The spine is a range of (max - min + 1) keys, made in parallel, times the
+    classes (a few literals); it is outer-joined to the grouped counts. No
+    cross join, no bound on the key's range.
     """
     counts = (df.where(F.col(key).isNotNull() & F.col(by).isNotNull())
               .groupBy(key, by).agg(F.count(F.lit(1)).alias("n_obs")))
-    span = F.col("_hi").cast("long") - F.col("_lo").cast("long") + 1
-    seq = F.when(span <= max_span, F.sequence(F.col("_lo").cast("long"), F.col("_hi").cast("long"))) \
-        .otherwise(F.raise_error(F.lit(f"dense_counts: key range wider than {max_span}")))
-    spine = (df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.collect_set(by).alias("_cls"))
-             .select(F.explode(seq).alias(key), "_cls")
-             .select(key, F.explode("_cls").alias(by)))
+    known = df.agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"), F.collect_set(by).alias("classes")).first()
+    lo, hi = (known.lo, known.hi + 1) if known.lo is not None else (0, 0)
+    classes = F.array(*[F.lit(c) for c in known.classes]).cast(f"array<{df.schema[by].dataType.simpleString()}>")
+    spine = df.sparkSession.range(lo, hi).select(F.col("id").alias(key), F.explode(classes).alias(by))
     counts = counts.withColumn(key, F.col(key).cast("long"))
     joined = spine.join(counts, [key, by], "full_outer")
     return joined.select(key, by, F.coalesce(F.col("n_obs"), F.lit(0)).cast("long").alias("n"))
@@ -308,7 +312,7 @@ def common_features(df: DataFrame, cols: Sequence[str], by: str | None = None) -
     if not num_cols:
         return modes
     stats = describe(df, num_cols, by).drop("count")
-    return modes.join(stats, keep + ["feature"], "left")
+    return _join_groups(modes, stats, keep + ["feature"])
 
 
 def near_constant(df: DataFrame, cols: Sequence[str], share: float = 0.8) -> DataFrame:

@@ -19,12 +19,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Feature sets wider than this are fitted with the vector Summarizer and
-# scored with one loop expression over a constant array instead of one
-# generated term per feature: the per-row work is the same, but the
-# generated code stays small (very wide expressions exceed the JIT method
-# size limit and fall back to slow interpretation).
-WIDE = 16
+from callsheet.session import persist
+
+# One path for every width: fits use the vector Summarizer, scores one loop
+# expression over a constant array, so that the generated code stays small.
+# Null rule: a row with a null feature (or label) takes no part in a fit and
+# gets a null prediction.
 
 
 def _argmax(scores: dict[int, Column]) -> Column:
@@ -51,48 +51,38 @@ def _softmax(scores: dict[int, Column]) -> Column:
     return F.array(*[e / total for e in exps])
 
 
-def _score(df: DataFrame, scores: dict[int, Column], prediction: str, probability: str) -> DataFrame:
+def _score(df: DataFrame, features: Sequence[str], scores: dict[int, Column], prediction: str, probability: str) -> DataFrame:
     """Evaluate every class score once (into a temporary array), then take
-    the argmax and the softmax from it."""
+    the argmax and the softmax from it; null for an incomplete row."""
     classes = list(scores)
     df = df.withColumn("_scores", F.array(*scores.values()))
     ref = {c: F.col("_scores")[i] for i, c in enumerate(classes)}
-    return df.withColumn(prediction, _argmax(ref)).withColumn(probability, _softmax(ref)).drop("_scores")
+    full = _complete(features)
+    return df.withColumn(prediction, F.when(full, _argmax(ref))) \
+        .withColumn(probability, F.when(full, _softmax(ref))).drop("_scores")
+
 
+def _complete(features: Sequence[str]) -> Column:
+    """Whether a row has all its features."""
+    return F.forall(F.array(*[F.col(f).isNotNull() for f in features]), lambda x: x)
 
-def _class_moments(train: DataFrame, features: Sequence[str], label: str, extra=(),
-                   squares: bool = False) -> list[dict]:
-    """Per-class count, means, population variances (and sums of squares):
-    one grouped aggregate, one row per class.
 
-    Narrow inputs use one SQL aggregate per statistic (codegen'd); wide
-    inputs use Spark ML's vector ``Summarizer``, a single imperative
-    aggregate whatever the width, so the plan stays small.
-    """
+def _class_moments(train: DataFrame, features: Sequence[str], label: str) -> list[dict]:
+    """Per-class count, means and population variances: one grouped vector
+    aggregate (one pass with running updates, so large means cost no digits),
+    one row per class."""
     features = list(features)
-    if len(features) <= WIDE:
-        aggs = [F.count(F.lit(1)).alias("_n")]
-        aggs += [F.avg(F.col(f).cast("double")).alias(f"m_{i}") for i, f in enumerate(features)]
-        aggs += [F.var_pop(F.col(f).cast("double")).alias(f"v_{i}") for i, f in enumerate(features)]
-        if squares:
-            aggs += [F.sum(F.pow(F.col(f).cast("double"), 2)).alias(f"q_{i}") for i, f in enumerate(features)]
-        aggs += list(extra)
-        rows = [r.asDict() for r in train.groupBy(label).agg(*aggs).collect()]
-        return sorted(rows, key=lambda r: r[label])
     vec = array_to_vector(F.array(*[F.col(f).cast("double") for f in features]))
-    summ = Summarizer.metrics("count", "mean", "variance", "normL2").summary(vec).alias("_s")
+    summ = Summarizer.metrics("count", "mean", "variance").summary(vec).alias("_s")
     out = []
-    for r in train.groupBy(label).agg(summ, *extra).collect():
-        d = r.asDict()
-        s = d.pop("_s")
+    for r in train.dropna(subset=[label, *features]).groupBy(label).agg(summ).collect():
+        s = r["_s"]
         n = int(s["count"])
-        d["_n"] = n
-        mean, var, l2 = s["mean"].toArray(), s["variance"].toArray(), s["normL2"].toArray()
+        d = {label: r[label], "_n": n}
+        mean, var = s["mean"].toArray(), s["variance"].toArray()
         for i in range(len(features)):
             d[f"m_{i}"] = float(mean[i])
             d[f"v_{i}"] = float(var[i]) * (n - 1) / n if n > 1 else 0.0   # sample -> population
-            if squares:
-                d[f"q_{i}"] = float(l2[i]) ** 2
         out.append(d)
     return sorted(out, key=lambda r: r[label])
 
@@ -102,7 +92,7 @@ def _x_array(features: Sequence[str]) -> Column:
 
 
 def _const_array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")   # one parse, not a call per number
 
 
 def _loop_sum(x: Column, start: float, centre, scale, kind: str) -> Column:
@@ -127,26 +117,30 @@ class GaussianNBModel:
     log_prior: dict[int, float]
     means: dict[int, list[float]]
     variances: dict[int, list[float]]
+    largest: float = 0.0
+    var_smoothing: float = 0.0
+
+    def smoothed(self, var_smoothing: float) -> GaussianNBModel:
+        """The same fit with another share of ``largest`` added to all variances."""
+        more = (var_smoothing - self.var_smoothing) * self.largest
+        return GaussianNBModel(self.features, self.classes, self.log_prior, self.means,
+                               {c: [x + more for x in v] for c, v in self.variances.items()}, self.largest, var_smoothing)
+
+    def predicted(self) -> Column:
+        return F.when(_complete(self.features), _argmax(self.scores()))
 
     def scores(self) -> dict[int, Column]:
         """Joint log-likelihood per class."""
         out = {}
-        wide = len(self.features) > WIDE
-        x = _x_array(self.features) if wide else None
+        x = _x_array(self.features)
         for c in self.classes:
             const = self.log_prior[c] - 0.5 * sum(math.log(2 * math.pi * v) for v in self.variances[c])
-            if wide:
-                out[c] = _loop_sum(x, const, self.means[c], [2 * v for v in self.variances[c]], "gauss")
-                continue
-            e = F.lit(const)
-            for f, m, v in zip(self.features, self.means[c], self.variances[c]):
-                e = e - F.pow(F.col(f).cast("double") - F.lit(m), 2) / F.lit(2 * v)
-            out[c] = e
+            out[c] = _loop_sum(x, const, self.means[c], [2 * v for v in self.variances[c]], "gauss")
         return out
 
     def transform(self, df: DataFrame, prediction: str = "prediction",
                   probability: str = "probability") -> DataFrame:
-        return _score(df, self.scores(), prediction, probability)
+        return _score(df, self.features, self.scores(), prediction, probability)
 
 
 def gaussian_nb(train: DataFrame, features: Sequence[str], label: str = "label",
@@ -163,13 +157,14 @@ def gaussian_nb(train: DataFrame, features: Sequence[str], label: str = "label",
     for j in range(p):
         mean_j = sum(r["_n"] * r[f"m_{j}"] for r in rows) / n_tot
         total_var.append(sum(r["_n"] * (r[f"v_{j}"] + (r[f"m_{j}"] - mean_j) ** 2) for r in rows) / n_tot)
-    eps = var_smoothing * max(total_var)
+    largest = max(total_var) or 1.0   # every column constant: no variance to take a share of
+    eps = var_smoothing * largest
     classes = [int(r[label]) for r in rows]
     return GaussianNBModel(
         features, classes,
         {int(r[label]): math.log(r["_n"] / n_tot) for r in rows},
         {int(r[label]): [r[f"m_{j}"] for j in range(p)] for r in rows},
-        {int(r[label]): [r[f"v_{j}"] + eps for j in range(p)] for r in rows})
+        {int(r[label]): [r[f"v_{j}"] + eps for j in range(p)] for r in rows}, largest, var_smoothing)
 
 
 # ------------------------------------------------------- nearest centroid
@@ -183,54 +178,59 @@ class NearestCentroidModel:
 
     def distances(self) -> dict[int, Column]:
         out = {}
-        wide = len(self.features) > WIDE
-        x = _x_array(self.features) if wide else None
+        x = _x_array(self.features)
         for c in self.classes:
-            if wide:
-                out[c] = _loop_sum(x, 0.0, self.centroids[c], None,
-                                   "abs" if self.metric == "manhattan" else "sq")
-                continue
-            terms = []
-            for f, m in zip(self.features, self.centroids[c]):
-                d = F.col(f).cast("double") - F.lit(m)
-                terms.append(F.abs(d) if self.metric == "manhattan" else d * d)
-            e = terms[0]
-            for t in terms[1:]:
-                e = e + t
-            out[c] = e
+            out[c] = _loop_sum(x, 0.0, self.centroids[c], None, "abs" if self.metric == "manhattan" else "sq")
         return out
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
-        return df.withColumn(prediction, _argmin(self.distances()))
+        return df.withColumn(prediction, self.predicted())
 
+    def predicted(self) -> Column:
+        return F.when(_complete(self.features), _argmin(self.distances()))
 
-def nearest_centroid(train: DataFrame, features: Sequence[str], label: str = "label",
-                     metric: str = "euclidean", shrink_threshold: float | None = None) -> NearestCentroidModel:
-    """Class means (euclidean) or medians (manhattan) as centroids, with the
-    optional nearest-shrunken-centroid soft threshold (Tibshirani et al.,
-    2002): d = (class centroid - overall mean) / (m_k (s_j + s_0)) is shrunk
-    towards 0 by ``shrink_threshold``."""
+
+@dataclass
+class CentroidParts:
+    """What every nearest-centroid fit on one frame shares, whatever its shrinkage."""
+    features: list[str]
+    rows: list[dict]
+    centres: dict[int, list[float]]
+    metric: str
+
+
+def centroid_parts(train: DataFrame, features: Sequence[str], label: str = "label", metric: str = "euclidean") -> CentroidParts:
+    """Class moments and centres: means (euclidean) or medians (manhattan)."""
     features = list(features)
-    p = len(features)
-    rows = _class_moments(train, features, label, squares=shrink_threshold is not None)
-    classes = [int(r[label]) for r in rows]
-    cent = {int(r[label]): [r[f"m_{j}"] for j in range(p)] for r in rows}
+    rows = _class_moments(train, features, label)
+    cent = {int(r[label]): [r[f"m_{j}"] for j in range(len(features))] for r in rows}
     if metric == "manhattan":
         # class medians, exact, without gathering a class into one task
         from callsheet.operators.quantiles import exact_quantiles
-        long = train.select(label, F.inline(F.array(*[
-            F.struct(F.lit(j).alias("_j"), F.col(f).cast("double").alias("_x")) for j, f in enumerate(features)])))
+        # kept as plain columns: the unpivot below would repeat every feature's expression
+        plain = persist(train.dropna(subset=[label, *features]).select(label, F.array(*[F.col(f).cast("double") for f in features]).alias("_f")))
+        long = plain.select(label, F.posexplode("_f").alias("_j", "_x"))
         for r in exact_quantiles(long, [label, "_j"], "_x", [0.5]).collect():
             cent[int(r[label])][int(r["_j"])] = r["q"]
+        plain.unpersist()
+    return CentroidParts(features, [{**r, "_c": int(r[label])} for r in rows], cent, metric)
+
+
+def shrunken(parts: CentroidParts, shrink_threshold: float | None = None) -> NearestCentroidModel:
+    """The model of given centres, with the optional nearest-shrunken-centroid
+    soft threshold (Tibshirani et al., 2002): d = (class centroid - overall
+    mean) / (m_k (s_j + s_0)) is shrunk towards 0 by ``shrink_threshold``."""
+    rows, p = parts.rows, len(parts.features)
+    cent = {c: list(v) for c, v in parts.centres.items()}
     if shrink_threshold is not None:
         n = sum(r["_n"] for r in rows)
         k = len(rows)
         overall = [sum(r["_n"] * r[f"m_{j}"] for r in rows) / n for j in range(p)]
-        within = [sum(r[f"q_{j}"] - r["_n"] * r[f"m_{j}"] ** 2 for r in rows) for j in range(p)]
+        within = [sum(r["_n"] * r[f"v_{j}"] for r in rows) for j in range(p)]
         s = np.sqrt(np.maximum(np.array(within), 0.0) / max(n - k, 1))
         s = s + np.median(s)
         for r in rows:
-            c = int(r[label])
+            c = r["_c"]
             mk = math.sqrt(max(1.0 / r["_n"] - 1.0 / n, 0.0))
             new = []
             for j in range(p):
@@ -239,7 +239,13 @@ def nearest_centroid(train: DataFrame, features: Sequence[str], label: str = "la
                 d = math.copysign(max(abs(d) - shrink_threshold, 0.0), d)
                 new.append(overall[j] + ms * d)
             cent[c] = new
-    return NearestCentroidModel(features, classes, cent, metric)
+    return NearestCentroidModel(parts.features, [r["_c"] for r in rows], cent, parts.metric)
+
+
+def nearest_centroid(train: DataFrame, features: Sequence[str], label: str = "label",
+                     metric: str = "euclidean", shrink_threshold: float | None = None) -> NearestCentroidModel:
+    """Fit :func:`centroid_parts` and shrink them."""
+    return shrunken(centroid_parts(train, features, label, metric), shrink_threshold)
 
 
 # -------------------------------------------------------------------- QDA
@@ -255,57 +261,56 @@ class QDAModel:
 
     def scores(self) -> dict[int, Column]:
         out = {}
+        x = _x_array(self.features)
         for c in self.classes:
-            centred = [F.col(f).cast("double") - F.lit(m) for f, m in zip(self.features, self.means[c])]
-            e = F.lit(self.log_prior[c] - 0.5 * float(np.sum(np.log(self.scalings[c]))))
+            const = self.log_prior[c] - 0.5 * float(np.sum(np.log(self.scalings[c])))
             rot, sc = self.rotations[c], self.scalings[c]
-            identity = np.allclose(sc, 1.0)
-            if identity:
-                for z in centred:
-                    e = e - F.lit(0.5) * z * z
-            else:
-                for k in range(len(sc)):
-                    proj = None
-                    for j, z in enumerate(centred):
-                        t = z * F.lit(float(rot[j, k]))
-                        proj = t if proj is None else proj + t
-                    e = e - F.lit(0.5 / float(sc[k])) * proj * proj
-            out[c] = e
+            if np.allclose(sc, 1.0):
+                out[c] = _loop_sum(x, const, self.means[c], [2.0] * len(sc), "gauss")
+                continue
+            # the rotation as one constant array of rows; each projection is a loop over the features
+            turn, mean = F.array(*[_const_array(rot[:, k]) for k in range(len(sc))]), _const_array(self.means[c])
+            places = F.sequence(F.lit(0), F.lit(len(self.features) - 1))
+            z = F.transform(turn, lambda r: F.aggregate(places, F.lit(0.0), lambda acc, j: acc + r[j] * (x[j] - mean[j])))
+            half = _const_array([0.5 / float(v) for v in sc])
+            out[c] = F.aggregate(F.transform(z, lambda v, k: v * v * half[k]), F.lit(const), lambda acc, t: acc - t)
         return out
 
     def transform(self, df: DataFrame, prediction: str = "prediction",
                   probability: str = "probability") -> DataFrame:
-        return _score(df, self.scores(), prediction, probability)
+        return _score(df, self.features, self.scores(), prediction, probability)
+
+
+PAIRS = 300
 
 
 def qda(train: DataFrame, features: Sequence[str], label: str = "label", reg_param: float = 0.0) -> QDAModel:
     """Per-class Gaussian with covariance eigenvalues shrunk towards 1:
-    w' = (1 - reg) w + reg. Fitting is one aggregate of per-class sums and
-    cross products (p(p+1)/2 sums per class); the p x p eigen-decomposition
-    runs on the driver."""
+    w' = (1 - reg) w + reg. The covariances are Spark's (centred) sample
+    covariances, ``PAIRS`` of them per grouped aggregate, none for reg = 1,
+    where all eigenvalues are 1; the p x p eigen-decomposition runs on the
+    driver."""
     features = list(features)
     p = len(features)
-    extra = [F.sum(F.col(features[i]).cast("double")).alias(f"s_{i}") for i in range(p)]
-    extra += [F.sum(F.col(features[i]).cast("double") * F.col(features[j]).cast("double")).alias(f"x_{i}_{j}")
-              for i in range(p) for j in range(i, p)]
-    rows = _class_moments(train, features, label, extra)
+    rows = _class_moments(train, features, label)
+    full = train.dropna(subset=[label, *features])
+    cov = {r[label]: np.zeros((p, p)) for r in rows}
+    pairs = [(i, j) for i in range(p) for j in range(i, p)] if reg_param < 1 else []
+    for at in range(0, len(pairs), PAIRS):
+        some = pairs[at:at + PAIRS]
+        aggs = [F.covar_samp(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(f"x_{i}_{j}") for i, j in some]
+        for r in full.groupBy(label).agg(*aggs).collect():
+            for i, j in some:
+                cov[r[label]][i, j] = cov[r[label]][j, i] = r[f"x_{i}_{j}"] or 0.0
     n_tot = sum(r["_n"] for r in rows)
     classes, prior, means, rots, scs = [], {}, {}, {}, {}
     for r in rows:
-        c, n = int(r[label]), r["_n"]
-        mu = np.array([r[f"s_{i}"] / n for i in range(p)])
-        xx = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                xx[i, j] = xx[j, i] = r[f"x_{i}_{j}"]
-        cov = (xx - n * np.outer(mu, mu)) / max(n - 1, 1)
-        w, u = np.linalg.eigh(cov)
-        w = np.maximum(w, 0.0)
-        w = (1 - reg_param) * w + reg_param
+        c = int(r[label])
+        w, u = np.linalg.eigh(cov[r[label]]) if pairs else (np.zeros(p), np.eye(p))
         classes.append(c)
-        prior[c] = math.log(n / n_tot)
-        means[c] = mu.tolist()
-        rots[c], scs[c] = u, w
+        prior[c] = math.log(r["_n"] / n_tot)
+        means[c] = [r[f"m_{j}"] for j in range(p)]
+        rots[c], scs[c] = u, (1 - reg_param) * np.maximum(w, 0.0) + reg_param
     return QDAModel(features, classes, prior, means, rots, scs)
 
 

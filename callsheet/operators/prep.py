@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsheet.functions.columns import seeded_hash
-from callsheet.session import BROADCAST_MAX_ROWS
 
 # Fixed value (the notebooks' single random seed):
 SEED = 6932
@@ -49,45 +48,57 @@ PART_BUCKET_DIGITS = 4  # 16**4 = 65,536 hash buckets per class for rank cuts
 
 
 def rank_parts(df: DataFrame, label: str, id_col: str, cuts, seed: int = SEED, out: str = "_part",
-               bucket_digits: int = PART_BUCKET_DIGITS) -> DataFrame:
+               bucket_digits: int = PART_BUCKET_DIGITS, apply=None) -> DataFrame:
     """Part index of every row from rank cut points inside its class.
 
     Rows are ordered inside their class by ``md5(id || seed)`` (ties by id);
     ``cuts(n_class)`` gives ascending ranks t_1 < t_2 < ...; a row of rank r
     gets part = #{t : t < r}. Equivalent to comparing ``row_number() OVER
-    (PARTITION BY label ORDER BY md5, id)`` with the cuts, but the big data
-    is never shuffled: a bucket histogram (classes x 65,536 rows at most)
-    tells which hash buckets lie wholly inside one part -- those rows get
-    their part map-side through a size-checked broadcast of the bucket table
-    -- and only the few buckets that straddle a cut (one per cut and class,
-    ~n / 65,536 rows each) are ranked with a window. The cut points (a few
-    per class) travel as a literal map.
+    (PARTITION BY label ORDER BY md5, id)`` with the cuts, but no row is
+    moved: a bucket histogram (classes x 65,536 rows at most) tells which hash
+    bucket holds each cut, the ranks inside those few buckets (~n / 65,536 rows
+    each, ids and labels only) give the hash and id at the cut, and these (one
+    per cut and class) become literals that every row is compared with. So the
+    result is a projection of ``df``: no shuffle, join or cache of the rows.
+    Rows with a null label belong to no part and are left out.
     """
-    keyed = (df.withColumn("_h", seeded_hash(id_col, seed))
-             .withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("long")))
+    df = df.where(F.col(label).isNotNull())
+    h = seeded_hash(id_col, seed)
+    keyed = df.select(label, id_col, h.alias("_h"),
+                      F.conv(F.substring(h, 1, bucket_digits), 16, 10).cast("long").alias("_b"))
     hist = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     sizes = {r[label]: int(r["n"]) for r in hist.groupBy(label).agg(F.sum("_bn").alias("n")).collect()}
-    pairs = []
-    for k, n in sizes.items():
-        pairs += [F.lit(k), F.array(F.lit(-1).cast("long"), *[F.lit(int(t)).cast("long") for t in cuts(n)])]
-    cut_map = F.create_map(*pairs)
-    mine = F.filter(cut_map[F.col(label)], lambda t: t >= 0)          # this row's class cut points
+    if not sizes:
+        return df.withColumn(out, F.lit(0)) if apply is None else apply(F.lit(0))
+    cut_map = F.create_map(*[x for k, n in sizes.items() for x in (
+        F.lit(k), F.array(F.lit(-1).cast("long"), *[F.lit(int(t)).cast("long") for t in cuts(n)]))])
     wcum = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = hist.withColumn("_lo", F.coalesce(F.sum("_bn").over(wcum), F.lit(0)))
-    # a bucket holds ranks _lo + 1 .. _lo + _bn; its part is known when no cut falls inside
-    inside = F.size(F.filter(mine, lambda t: (t > F.col("_lo")) & (t < F.col("_lo") + F.col("_bn"))))
-    below = F.size(F.filter(mine, lambda t: t <= F.col("_lo")))
-    table = buckets.select(label, "_b", "_lo", F.when(inside == 0, below).alias("_p"))
-    # the bucket table has at most classes x 16**digits rows: broadcast when
-    # that bound is small, otherwise leave the join to the planner
-    bound = len(sizes) * 16 ** bucket_digits
-    tagged = keyed.join(F.broadcast(table) if bound <= BROADCAST_MAX_ROWS else table, [label, "_b"])
-    settled = tagged.where(F.col("_p").isNotNull()).select(*df.columns, F.col("_p").cast("int").alias(out))
-    w = Window.partitionBy(label, "_b").orderBy("_h", id_col)
-    ranked = (tagged.where(F.col("_p").isNull())
-              .withColumn("_r", F.col("_lo") + F.row_number().over(w)))
-    resolved = ranked.select(*df.columns, F.size(F.filter(mine, lambda t: t < F.col("_r"))).cast("int").alias(out))
-    return settled.unionByName(resolved)
+    held = F.filter(cut_map[F.col(label)], lambda t: (t > F.col("_lo")) & (t <= F.col("_lo") + F.col("_bn")))
+    edges = buckets.select(F.col(label).alias("_l"), F.col("_b").alias("_eb"), "_lo", F.explode(F.array_distinct(held)).alias("_t"))
+    w = Window.partitionBy("_l", "_eb", "_t").orderBy("_h", id_col)
+    at = (keyed.join(edges, (F.col(label) == F.col("_l")) & (F.col("_b") == F.col("_eb")))
+          .withColumn("_r", F.col("_lo") + F.row_number().over(w)).where("_r = _t").select("_l", "_t", "_h", id_col).collect())
+    found = {(r["_l"], r["_t"]): (r["_h"], r[id_col]) for r in at}
+    kind = df.schema[id_col].dataType
+    part = None
+    for k, n in sizes.items():
+        beyond = F.lit(0)
+        for t in cuts(n):
+            if t < 1:
+                beyond = beyond + 1
+            elif (k, t) in found:
+                ch, ci = found[k, t]
+                beyond = beyond + ((h > ch) | ((h == ch) & (F.col(id_col) > F.lit(ci).cast(kind)))).cast("int")
+        part = F.when(F.col(label) == k, beyond) if part is None else part.when(F.col(label) == k, beyond)
+    return df.withColumn(out, part.cast("int")) if apply is None else apply(part.cast("int"))
+
+
+def split_expression(keys: DataFrame, label: str, id_col: str, frac: float = 0.5, seed: int = SEED, out: str = "is_train"):
+    """A function that flags the rows of any frame with the same ids and
+    labels as ``keys`` (a narrow frame is enough to find the cuts)."""
+    part = rank_parts(keys, label, id_col, lambda n: [int(math.floor(n * frac + 0.5))], seed, apply=lambda x: x)
+    return lambda df: df.where(F.col(label).isNotNull()).withColumn(out, part == 0)
 
 
 def split_stratified(df: DataFrame, label: str, id_col: str, frac: float = 0.5, seed: int = SEED,

@@ -72,21 +72,21 @@ def svd_project(df: DataFrame, features: str, k: int, out: str = "svd", fit_on:
     return _signed(raw, "_svd_raw", signs, out)
 
 
-def svd_variance(df: DataFrame, features: str, k: int) -> DataFrame:
-    """Explained-variance ratio of each of k SVD components and the running
-    total: (component, explained_variance, ratio, cumulative). The variance
-    of every projected column and the total variance of the features come
-    from one aggregate over the projection."""
+def svd_variance(df: DataFrame, features: str, k: int | None = None) -> DataFrame:
+    """Explained-variance ratio of each of k SVD components (all but the last
+    if k is not given) and the running total: (component, explained_variance,
+    ratio, cumulative). The variances of the projected columns and of the
+    features come from one vector aggregate each."""
+    first = df.select(features).first()
+    k = k or max(1, len(first[0]) - 1)
     proj = svd_project(df, features, k, "_z")
-    z = vector_to_array(F.col("_z"))
-    arr = vector_to_array(F.col(features))
-    p = len(df.select(features).first()[0])
-    row = proj.agg(*[F.var_pop(z[j]).alias(f"c{j}") for j in range(k)],
-                   *[F.var_pop(arr[i]).alias(f"t{i}") for i in range(p)]).first()
-    total = sum(row[f"t{i}"] for i in range(p))
+    row = proj.agg(Summarizer.metrics("count", "variance").summary(F.col("_z")).alias("z"),
+                   Summarizer.metrics("variance").summary(F.col(features)).alias("x")).first()
+    back = (row["z"]["count"] - 1) / row["z"]["count"]                # sample -> population
+    each, total = row["z"]["variance"].toArray() * back, float(np.sum(row["x"]["variance"].toArray())) * back
     rows, cum = [], 0.0
     for j in range(k):
-        ev = row[f"c{j}"]
+        ev = float(each[j])
         ratio = ev / total if total else 0.0
         cum += ratio
         rows.append((j + 1, float(ev), float(ratio), float(cum)))
@@ -130,13 +130,10 @@ def kmeans(df: DataFrame, features: str, k: int, seed: int = SEED, out: str = "c
 
 
 def total_ss(df: DataFrame, features: str) -> float:
-    """Sum of squared distances to the overall mean (inertia of k = 1):
-    sum ||x||^2 - n ||mean||^2 from one aggregate."""
-    arr = vector_to_array(F.col(features))
-    r = df.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col(features)).alias("m"),
-               F.sum(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x)).alias("sq")).first()
-    m = np.array(r["m"].toArray())
-    return float(r["sq"] - r["n"] * float(m @ m))
+    """Sum of squared distances to the overall mean (inertia of k = 1): the
+    variances times n - 1, from one vector aggregate."""
+    r = df.agg(Summarizer.metrics("count", "variance").summary(F.col(features)).alias("s")).first()["s"]
+    return float(np.sum(r["variance"].toArray()) * max(r["count"] - 1, 0))
 
 
 def elbow(df: DataFrame, features: str, k_min: int = 1, k_max: int = 9, seed: int = SEED) -> DataFrame:

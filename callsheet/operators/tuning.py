@@ -17,6 +17,7 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,34 @@ def grid_search(est: Estimator, grid: list, data: DataFrame, evaluator: Evaluato
     return model, res.orderBy(F.col("mean_score").asc() if asc else F.col("mean_score").desc(), "candidate")
 
 
+def fold_scores(data: DataFrame, fit_all: Callable[[DataFrame], list], fold_col: str = "fold", label: str = "label",
+                k: int = 5, only: Sequence[int] | None = None) -> DataFrame:
+    """(fold, candidate, tp, fn, tn, fp) of closed-form candidates.
+
+    ``fit_all(train)`` returns one fitted model per candidate; candidates share
+    their aggregates, so a fold costs the fits' few scans, one scan scores all
+    candidates as columns, and one grouped aggregate counts them. ``only``
+    limits the held-out folds.
+    """
+    def count(y: int, p: int):
+        return F.sum(((F.col("y") == y) & (F.col("p") == p)).cast("long"))
+
+    found = []
+    for i in range(k) if only is None else only:
+        models = fit_all(data.where(F.col(fold_col) != i))
+        held = data.where(F.col(fold_col) == i)
+        for at in range(0, len(models), AT_ONCE):   # a plan holds the coefficients of so many candidates
+            rows = F.array(*[F.struct(F.lit(c).alias("candidate"), m.predicted().alias("p"))
+                             for c, m in enumerate(models[at:at + AT_ONCE], at)])
+            got = held.select(F.col(label).cast("int").alias("y"), F.inline(rows)).groupBy("candidate").agg(
+                count(1, 1).alias("tp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"), count(0, 1).alias("fp"))
+            found += [(i, *r) for r in got.collect()]   # four counts a candidate
+    return data.sparkSession.createDataFrame(found, "fold int, candidate int, tp long, fn long, tn long, fp long")
+
+
+AT_ONCE = 10
+
+
 # ----------------------------------------------------------- seeded search
 
 def choice(*options):
@@ -68,7 +97,7 @@ def _draw(space: Mapping, rng: random.Random) -> dict:
 
 def param_search(build: Callable[[dict], Estimator], space: Mapping, train: DataFrame, valid: DataFrame,
                  score: Callable[[DataFrame], float], evals: int = 50, seed: int = SEED,
-                 objective: Callable | None = None):
+                 objective: Callable | None = None, clock: bool = False):
     """Seeded random search of a mixed choice / quantised-uniform space.
 
     Each trial: ``build(params)`` -> fit on ``train`` -> ``score`` on the
@@ -92,7 +121,13 @@ def param_search(build: Callable[[dict], Estimator], space: Mapping, train: Data
             best, best_loss = params, loss
     trials = train.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, score double, "
                                                       "seconds double")
-    return trials, best
+    return trials if clock else trials.drop("seconds"), best
+
+
+def draws(space: Mapping, evals: int = 50, seed: int = SEED) -> list[dict]:
+    """The points that ``param_search`` tries."""
+    rng = random.Random(seed)
+    return [_draw(space, rng) for _ in range(evals)]
 
 
 # ------------------------------------------------------ k-fold and stacking
@@ -122,17 +157,25 @@ def cv_score(est: Estimator, data: DataFrame, k: int = 5, fold_col: str = "fold"
 def stack(bases: Mapping[str, Estimator], train: DataFrame, test: DataFrame, k: int = 5, fold_col: str = "fold",
           label: str = "label", id_col: str = "client_id", meta: Estimator | None = None) -> DataFrame:
     """Stacking: out-of-fold base predictions train a logistic meta-model;
-    bases refitted on all of train feed it on test. Each fold carries all
-    base predictions as columns, so folds are unioned, never joined."""
+    bases refitted on all of train feed it on test. A base hands on its
+    probability of class 1 if it has one, else its prediction. Each fold
+    carries all bases as columns, so folds are unioned, never joined."""
     meta = meta or LogisticRegression(featuresCol="_meta_x", labelCol=label, maxIter=100)
     names = list(bases)
+
+    def add(model, name: str, frame: DataFrame) -> DataFrame:
+        got = model.transform(frame)
+        if "probability" not in got.columns:
+            return got.withColumn(f"p_{name}", F.col("prediction").cast("double")).drop("prediction")
+        p = F.col("probability") if got.schema["probability"].dataType.typeName() == "array" else vector_to_array("probability")
+        return got.withColumn(f"p_{name}", p[1]).drop("prediction", "probability", "rawPrediction")
+
     folds = []
     for i in range(k):
         tr, ho = train.where(F.col(fold_col) != i), train.where(F.col(fold_col) == i)
         cur = ho
         for n in names:
-            cur = bases[n].fit(tr).transform(cur).withColumnRenamed("prediction", f"p_{n}").drop(
-                "probability", "rawPrediction")
+            cur = add(bases[n].fit(tr), n, cur)
         folds.append(cur.select(id_col, label, *[F.col(f"p_{n}").cast("double") for n in names]))
     oof = folds[0]
     for f_ in folds[1:]:
@@ -141,8 +184,7 @@ def stack(bases: Mapping[str, Estimator], train: DataFrame, test: DataFrame, k:
     meta_model = meta.fit(asm.transform(oof.withColumn(label, F.col(label).cast("double"))))
     cur = test
     for n in names:
-        cur = bases[n].fit(train).transform(cur).withColumnRenamed("prediction", f"p_{n}").drop(
-            "probability", "rawPrediction")
+        cur = add(bases[n].fit(train), n, cur)
     scored = meta_model.transform(asm.transform(cur.select(id_col, label, *[F.col(f"p_{n}").cast("double")
                                                                           for n in names])))
     return scored.select(id_col, label, *[f"p_{n}" for n in names], F.col("prediction").cast("int").alias("prediction"))

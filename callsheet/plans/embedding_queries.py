@@ -66,7 +66,7 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 @query("svd_variance_embeddings")
 def q_svd_variance_embeddings(spark, sf_dir):
-    return SG.svd_variance(_vectors(spark, sf_dir), "features", 10)
+    return SG.svd_variance(_vectors(spark, sf_dir), "features")
 
 
 @query("kmeans_embeddings")

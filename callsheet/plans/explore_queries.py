@@ -10,7 +10,7 @@ from callsheet.operators import explore as X
 from callsheet.plans.registry import long_sql, query, typed_long_sql
 from callsheet.session import scratch_path
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
-from callsheet.sources.io import load_table, sql_over, write_table
+from callsheet.sources.io import load_clients, load_table, sql_over, write_table
 
 # Fixed values (the notebooks' per-column display cutoffs, strict upper bounds):
 CUTOFFS = {"balance": 10000, "duration": 2000, "campaign": 10}
@@ -52,6 +52,36 @@ def q_write_table(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def _as_csv(spark, sf_dir):
+    c = clients(spark, sf_dir)
+    return c.schema, write_table(c, scratch_path(spark, "clients-csv"), fmt="csv")
+
+
+@query("scan_clients_csv", "SELECT * FROM clients", rnd=R_CLIENT)
+def q_scan_csv(spark, sf_dir):
+    """Delimited sink and source, with the schema given."""
+    schema, path = _as_csv(spark, sf_dir)
+    return load_clients(spark, path, schema)
+
+
+@query("scan_clients_inferred", "SELECT * FROM clients", rnd=R_CLIENT)
+def q_scan_inferred(spark, sf_dir):
+    """The same with types inferred; month comes back as a number."""
+    schema, path = _as_csv(spark, sf_dir)
+    got = load_clients(spark, path, None).withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
+    return got.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
+@query("column_roles", "SELECT UNNEST(['job', 'contact', 'education', 'month', 'client_id', 'balance', 'amount', 'day', "
+       "'duration', 'campaign']) AS column_name, UNNEST(['categorical', 'categorical', 'categorical', 'categorical', "
+       "'numeric', 'numeric', 'numeric', 'numeric', 'numeric', 'numeric']) AS role")
+def q_column_roles(spark, sf_dir):
+    cats, nums = X.column_roles(clients(spark, sf_dir), "y")
+    rows = clients(spark, sf_dir).limit(1).select(F.inline(F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("role")) for r, cs in (("categorical", cats), ("numeric", nums)) for c in cs])))
+    return rows
+
+
 # ------------------------------------------------ 2.2 projections and filters
 
 

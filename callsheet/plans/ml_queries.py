@@ -9,20 +9,20 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsheet.functions.columns import yes_no
 from callsheet.operators import classifiers as C
 from callsheet.operators import metrics as M
+from callsheet.operators import models as MD
 from callsheet.operators import prep as P
 from callsheet.operators import stats as S
 from callsheet.operators import tuning as T
 from callsheet.plans.model_queries import L2_FEATURES, SEED, labeled
 from callsheet.plans.registry import query
 from callsheet.session import materialize, persist
-from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
+from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients, indicators_sql, with_indicators
 
 ALL = CATEGORICAL + NUMERIC
 
@@ -34,8 +34,8 @@ def prepared(spark, sf_dir):
     lab = materialize(P.split_and_folds(c, "label", "client_id", 0.5, 5, SEED), c)
     train = lab.where("is_train")
     prep = P.FeaturePrep(NUMERIC, CATEGORICAL).fit(train)
-    stats = P.fit_standardize(train, L2_FEATURES)
-    full = P.apply_standardize(prep.transform(lab), stats).withColumn("label", F.col("label").cast("double"))
+    stats = P.fit_standardize(train, NUMERIC)
+    full = with_indicators(P.apply_standardize(prep.transform(lab), stats)).withColumn("label", F.col("label").cast("double"))
     full = persist(full)
     return full.where("is_train"), full.where(~F.col("is_train")), prep
 
@@ -102,14 +102,14 @@ def q_formula_ols_categorical(spark, sf_dir):
 def q_formula_ols_table(spark, sf_dir):
     c = clients(spark, sf_dir).withColumn("label", yes_no("y").cast("double"))
     return S.coef_table(S.formula_ols(c, "duration ~ job"), S.formula_ols(c, "duration ~ label"),
-                        S.formula_ols(c, "duration ~ job + contact + education + balance + amount + day + campaign"))
+                        S.formula_ols(c, "duration ~ job + contact + education + month + balance + amount + day + campaign + label"))
 
 
 @query("formula_logit")
 def q_formula_logit(spark, sf_dir):
     c = clients(spark, sf_dir).withColumn("label", yes_no("y").cast("double"))
     return S.coef_table(S.formula_logit(c, "label ~ duration"), S.formula_logit(c, "label ~ balance"),
-                        S.formula_logit(c, "label ~ job + contact + education + balance + amount + day + duration "
+                        S.formula_logit(c, "label ~ job + contact + education + month + balance + amount + day + duration "
                                            "+ campaign"))
 
 
@@ -172,55 +172,67 @@ def q_average_precision(spark, sf_dir):
 # Fixed values (the notebooks' grids): metric euclidean / manhattan x shrink threshold
 # none (-1), 0.001, 0.01, 0.2, 0.5; var smoothing 1e-9 ... 1e-5; 50 seeded search trials
 # over shrink threshold quniform(0.001, 0.5, 0.001); 100 trees; 5 folds.
-def _nc_grid(est):
-    return (ParamGridBuilder().addGrid(est.metric, ["euclidean", "manhattan"])
-            .addGrid(est.shrinkThreshold, [-1.0, 0.001, 0.01, 0.2, 0.5]).build())
+SHRINKS = [None, 0.001, 0.01, 0.2, 0.5]
+SMOOTHINGS = [1e-9, 1e-8, 1e-7, 1e-6, 1e-5]
+
+
+def _centroids(points):
+    """Fits all (metric, shrinkage) points from one set of moments per metric."""
+    def fit_all(train):
+        parts = {m: MD.centroid_parts(train, L2_FEATURES, "label", m) for m in dict.fromkeys(m for m, _ in points)}
+        return [MD.shrunken(parts[m], s) for m, s in points]
+    return fit_all
+
+
+def _smoothings(train):
+    first = MD.gaussian_nb(train, L2_FEATURES, "label", SMOOTHINGS[0])
+    return [first.smoothed(s) for s in SMOOTHINGS]
+
+
+def _ranked(spark, counts, params) -> DataFrame:
+    """(candidate, params, mean_score, std_score) by balanced accuracy over the folds, best first."""
+    score = (F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)) + F.col("tn") / F.greatest(F.col("tn") + F.col("fp"), F.lit(1))) / 2
+    names = spark.createDataFrame([(i, {k: str(v) for k, v in p.items()}) for i, p in enumerate(params)],
+                                  "candidate int, params map<string,string>")
+    got = counts.groupBy("candidate").agg(F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"))
+    return names.join(got, "candidate").orderBy(F.desc("mean_score"), "candidate")
 
 
 @query("grid_search")
 def q_grid_search(spark, sf_dir):
     train, _, _ = prepared(spark, sf_dir)
-    est = C.NearestCentroidClassifier(inputCols=L2_FEATURES)
-    _, res = T.grid_search(est, _nc_grid(est), train, M.BalancedAccuracyEvaluator())
-    return res
+    points = [(m, s) for m in ("euclidean", "manhattan") for s in SHRINKS]
+    counts = T.fold_scores(train, _centroids(points))
+    return _ranked(spark, counts, [{"metric": m, "shrinkThreshold": s} for m, s in points])
 
 
 @query("grid_search_nb")
 def q_grid_search_nb(spark, sf_dir):
     train, _, _ = prepared(spark, sf_dir)
-    est = C.GaussianNBClassifier(inputCols=L2_FEATURES)
-    grid = ParamGridBuilder().addGrid(est.varSmoothing, [1e-9, 1e-8, 1e-7, 1e-6, 1e-5]).build()
-    _, res = T.grid_search(est, grid, train, M.BalancedAccuracyEvaluator())
-    return res
-
-
-def tp_rate(pred: DataFrame) -> float:
-    """Recall of class 1 (the true-positive score of the tuning runs)."""
-    r = M.recall(pred.withColumn("label", F.col("label").cast("int"))).first()
-    return float(r["recall"])
+    return _ranked(spark, T.fold_scores(train, _smoothings), [{"varSmoothing": s} for s in SMOOTHINGS])
 
 
 @query("param_search")
 def q_param_search(spark, sf_dir):
+    """50 seeded points, scored by recall of class 1 on a held-out fold."""
     train, _, _ = prepared(spark, sf_dir)
-    fit_part, valid = train.where(F.col("fold") != 0), train.where(F.col("fold") == 0)
     space = {"metric": T.choice("euclidean", "manhattan"), "shrinkThreshold": T.quniform(0.001, 0.5, 0.001)}
-
-    def build(params):
-        return C.NearestCentroidClassifier(inputCols=L2_FEATURES, metric=params["metric"],
-                                           shrinkThreshold=float(params["shrinkThreshold"]))
-    trials, _ = T.param_search(build, space, fit_part, valid, tp_rate, evals=50, seed=SEED)
-    return trials
+    points = T.draws(space, 50, SEED)
+    counts = T.fold_scores(train, _centroids([(p["metric"], float(p["shrinkThreshold"])) for p in points]), only=[0])
+    names = spark.createDataFrame([(i, p["metric"], float(p["shrinkThreshold"])) for i, p in enumerate(points)],
+                                  "candidate int, metric string, shrink_threshold double")
+    got = counts.groupBy("candidate").agg(F.avg(F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))).alias("score"))
+    return names.join(got, "candidate").select(F.col("candidate").alias("trial"), "metric", "shrink_threshold", "score")
 
 
 def _cv_sql() -> str:
-    f = L2_FEATURES
+    f = NUMERIC
     folds = " + ".join(f"CAST(_rank > (ntr * {j}) // 5 AS INTEGER)" for j in range(1, 5))
     st = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in f)
     z = ", ".join(f"(CAST(t.{c} AS DOUBLE) - st.m_{c}) / CASE WHEN st.s_{c} > 0 THEN st.s_{c} ELSE 1 END AS {c}"
                   for c in f)
-    cent = ", ".join(f"AVG(z.{c}) AS m_{c}" for c in f)
-    dist = " + ".join(f"pow(z.{c} - k.m_{c}, 2)" for c in f)
+    cent = ", ".join(f"AVG(z.{c}) AS m_{c}" for c in L2_FEATURES)
+    dist = " + ".join(f"pow(z.{c} - k.m_{c}, 2)" for c in L2_FEATURES)
     return f"""
     WITH lab AS (SELECT *, CASE WHEN y = 'yes' THEN 1 ELSE 0 END AS label FROM clients),
     rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY md5(CAST(client_id AS VARCHAR) || '{SEED}'),
@@ -228,7 +240,7 @@ def _cv_sql() -> str:
                   CAST(round(COUNT(*) OVER (PARTITION BY label) * 0.5) AS BIGINT) AS ntr FROM lab),
     tr AS (SELECT *, {folds} AS fold FROM rk WHERE _rank <= ntr),
     st AS (SELECT {st} FROM tr),
-    z AS (SELECT t.client_id, t.label, t.fold, {z} FROM tr t, st),
+    z AS (SELECT t.client_id, t.label, t.fold, {z}, {indicators_sql()} FROM tr t, st),
     k AS (SELECT o.k AS held, z.label AS c, {cent} FROM z, (SELECT DISTINCT fold AS k FROM z) o
           WHERE z.fold <> o.k GROUP BY o.k, z.label),
     d AS (SELECT z.client_id, z.label, z.fold, k.c, -({dist}) AS s FROM z JOIN k ON k.held = z.fold),

@@ -18,32 +18,38 @@ from callsheet.operators import models as MD
 from callsheet.operators import prep as P
 from callsheet.plans.registry import query
 from callsheet.session import materialize, persist
-from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
+from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients, indicator_names, indicators_sql, with_indicators
 
 SEED = P.SEED
 # Fixed values (the notebooks' settings): 50/50 split, trim at P(no) >= 0.99
 FRAC = 0.5
-L1_FEATURES = ["balance", "amount"]          # first layer: no call columns
-L2_FEATURES = list(NUMERIC)                  # second layer: all numerics
+# Both layers fit on the encoded table: z-scored numerics and a 0/1 column per
+# level. The first layer does without the call columns (day, month, duration, campaign).
+L1_NUMERIC = ["balance", "amount"]
+L1_FEATURES = L1_NUMERIC + indicator_names(["job", "contact", "education"])
+L2_FEATURES = list(NUMERIC) + indicator_names(CATEGORICAL)
 TRIM_P = 0.99
 SECONDS_PER_HOUR = 3600.0
 
 # ------------------------------------------------------------ Spark frames
 
 
-def labeled(spark, sf_dir) -> DataFrame:
-    # the split reads its input three times (bucket histogram, settled rows,
-    # boundary rows) and fits scan the result again: keep the joined input
-    # instead of re-running the joins each time
-    c = persist(clients(spark, sf_dir).withColumn("label", yes_no("y")))
-    return materialize(P.split_stratified(c, "label", "client_id", FRAC, SEED), c)
+def labeled(spark, sf_dir, columns=None) -> DataFrame:
+    """Clients (all or the named columns) with label and split flag. The
+    cuts are found on id and label alone, so only orders is read for them;
+    the flag is then an expression on each row."""
+    keys = P.split_expression(clients(spark, sf_dir, ["client_id", "y"]).withColumn("label", yes_no("y")),
+                              "label", "client_id", FRAC, SEED)
+    columns = columns if columns is None else [*columns, "client_id", "y"]
+    return keys(clients(spark, sf_dir, columns).withColumn("label", yes_no("y")))
 
 
-def scaled(spark, sf_dir, features=L2_FEATURES) -> DataFrame:
-    """Features z-scored with train mean / population std; raw duration kept."""
-    lab = labeled(spark, sf_dir).withColumn("raw_duration", F.col("duration"))
-    stats = P.fit_standardize(lab.where("is_train"), features)
-    return P.apply_standardize(lab, stats)
+def scaled(spark, sf_dir, numeric=NUMERIC) -> DataFrame:
+    """Numerics z-scored with train mean / population std and the indicator
+    columns; raw duration kept."""
+    lab = persist(labeled(spark, sf_dir)).withColumn("raw_duration", F.col("duration"))
+    stats = P.fit_standardize(lab.where("is_train"), numeric)
+    return with_indicators(P.apply_standardize(lab, stats))
 
 
 # --------------------------------------------------------------- SQL text
@@ -59,12 +65,12 @@ split AS (SELECT * EXCLUDE (_rank, _class_n), _rank <= round(_class_n * {FRAC})
                  AS fold FROM rk)"""
 
 
-def _scaled_cte(src: str = "split", name: str = "sc", features=L2_FEATURES) -> str:
+def _scaled_cte(src: str = "split", name: str = "sc", features=NUMERIC) -> str:
     st = ", ".join(f"AVG({f}) AS m_{f}, STDDEV_POP({f}) AS s_{f}" for f in features)
     z = ", ".join(f"(CAST(t.{f} AS DOUBLE) - st.m_{f}) / CASE WHEN st.s_{f} > 0 THEN st.s_{f} ELSE 1 END AS {f}"
                   for f in features)
     return (f"{name}_st AS (SELECT {st} FROM {src} WHERE is_train), "
-            f"{name} AS (SELECT t.* REPLACE ({z}), t.duration AS raw_duration FROM {src} t, {name}_st st)")
+            f"{name} AS (SELECT t.* REPLACE ({z}), t.duration AS raw_duration, {indicators_sql()} FROM {src} t, {name}_st st)")
 
 
 def _argmax_sql(scores: str, name: str, prob: bool) -> str:
@@ -118,19 +124,20 @@ BASE = f"WITH {SPLIT_CTE}, {_scaled_cte()}, {TEST_CTE}"
 
 @query("split_stratified", f"WITH {SPLIT_CTE} SELECT client_id, label, is_train FROM split")
 def q_split(spark, sf_dir):
-    return labeled(spark, sf_dir).select("client_id", "label", "is_train")
+    return labeled(spark, sf_dir, []).select("client_id", "label", "is_train")
 
 
 @query("stratified_folds", f"WITH {SPLIT_CTE} SELECT client_id, label, fold FROM split")
 def q_folds(spark, sf_dir):
-    c = clients(spark, sf_dir).withColumn("label", yes_no("y"))
+    c = clients(spark, sf_dir, ["client_id", "y"]).withColumn("label", yes_no("y"))
     return P.stratified_folds(c, "label", "client_id", 5, SEED).select("client_id", "label", "fold")
 
 
-@query("standardize", f"WITH {SPLIT_CTE}, {_scaled_cte()} SELECT client_id, {', '.join(L2_FEATURES)} FROM sc",
-       rnd=tuple(L2_FEATURES))
+@query("standardize", f"WITH {SPLIT_CTE}, {_scaled_cte()} SELECT client_id, {', '.join(NUMERIC)} FROM sc",
+       rnd=tuple(NUMERIC))
 def q_standardize(spark, sf_dir):
-    return scaled(spark, sf_dir).select("client_id", *L2_FEATURES)
+    lab = labeled(spark, sf_dir, NUMERIC)
+    return P.apply_standardize(lab, P.fit_standardize(lab.where("is_train"), NUMERIC)).select("client_id", *NUMERIC)
 
 
 def _impute_sql() -> str:
@@ -143,8 +150,25 @@ def _impute_sql() -> str:
 
 @query("impute_mode", _impute_sql())
 def q_impute_mode(spark, sf_dir):
-    lab = labeled(spark, sf_dir)
     cols = ["job", "contact", "education"]
+    lab = labeled(spark, sf_dir, cols)
+    return P.impute_mode(lab, cols, lab.where("is_train")).select("client_id", *cols)
+
+
+# every k-th id loses its value
+HOLES = {"job": 3, "contact": 5, "education": 7}
+
+
+def _impute_nulls_sql() -> str:
+    holes = ", ".join(f"CASE WHEN client_id % {k} = 0 THEN NULL ELSE {c} END AS {c}" for c, k in HOLES.items())
+    return _impute_sql().replace("FROM split", "FROM holed").replace("SELECT client_id,", f", holed AS (SELECT * REPLACE ({holes}) FROM split) SELECT client_id,", 1)
+
+
+@query("impute_mode_nulls", _impute_nulls_sql())
+def q_impute_mode_nulls(spark, sf_dir):
+    """The fill over columns that do have nulls."""
+    cols = list(HOLES)
+    lab = labeled(spark, sf_dir, cols).withColumns({c: F.when(F.col("client_id") % k != 0, F.col(c)) for c, k in HOLES.items()})
     return P.impute_mode(lab, cols, lab.where("is_train")).select("client_id", *cols)
 
 
@@ -414,7 +438,7 @@ def q_balanced_accuracy(spark, sf_dir):
 # -------------------------------------------- trimming and the two layers
 
 TWO_LAYER_CTE = f"""
-{SPLIT_CTE}, {_scaled_cte('split', 'sc1', L1_FEATURES)},
+{SPLIT_CTE}, {_scaled_cte('split', 'sc1', L1_NUMERIC)},
 {_gnb_cte('sc1', L1_FEATURES, 'l1', 'sc1')},
 trimmed AS (SELECT s.* EXCLUDE (is_train, fold) FROM split s JOIN l1 ON s.client_id = l1.client_id
             WHERE l1.prob0 < {TRIM_P}),
@@ -422,22 +446,22 @@ rk2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY md5(CAST(client
                                      client_id) AS _rank,
                COUNT(*) OVER (PARTITION BY label) AS _class_n FROM trimmed),
 split2 AS (SELECT * EXCLUDE (_rank, _class_n), _rank <= round(_class_n * {FRAC}) AS is_train FROM rk2),
-{_scaled_cte('split2', 'sc2', L2_FEATURES)},
+{_scaled_cte('split2', 'sc2')},
 {_centroid_cte('sc2', L2_FEATURES, 'l2', 'sc2')},
 layer AS (SELECT l2.client_id, l2.label, l2.prediction, sc2.raw_duration AS duration
           FROM l2 JOIN sc2 ON l2.client_id = sc2.client_id)"""
 
 
-def trimmed(spark, sf_dir) -> DataFrame:
+def trimmed(spark, sf_dir, level: float = TRIM_P) -> DataFrame:
     """Layer 1: Gaussian NB without the call columns; keep rows whose
     P(no) is below the trim level (the rest are not worth a call)."""
     lab = labeled(spark, sf_dir)
-    stats = P.fit_standardize(lab.where("is_train"), L1_FEATURES)
-    sc1 = P.apply_standardize(lab, stats, suffix="_z")
-    z = [f"{f}_z" for f in L1_FEATURES]
+    stats = P.fit_standardize(lab.where("is_train"), L1_NUMERIC)
+    sc1 = with_indicators(P.apply_standardize(lab, stats, suffix="_z"))
+    z = [f"{f}_z" if f in L1_NUMERIC else f for f in L1_FEATURES]
     nb = MD.gaussian_nb(sc1.where("is_train"), z, "label")
     scored = nb.transform(sc1, "_p1", "_prob1")
-    return scored.where(F.col("_prob1")[0] < TRIM_P).drop("_p1", "_prob1", *z, "is_train")
+    return scored.where(F.col("_prob1")[0] < level).select(*[c for c in lab.columns if c != "is_train"])
 
 
 def two_layer(spark, sf_dir) -> DataFrame:
@@ -445,8 +469,8 @@ def two_layer(spark, sf_dir) -> DataFrame:
     predict every kept row. Returns (client_id, label, prediction, duration)."""
     t = persist(trimmed(spark, sf_dir))
     t2 = materialize(P.split_stratified(t, "label", "client_id", FRAC, SEED), t)
-    stats = P.fit_standardize(t2.where("is_train"), L2_FEATURES)
-    sc2 = P.apply_standardize(t2.withColumn("raw_duration", F.col("duration")), stats)
+    stats = P.fit_standardize(t2.where("is_train"), NUMERIC)
+    sc2 = with_indicators(P.apply_standardize(t2.withColumn("raw_duration", F.col("duration")), stats))
     nc = MD.nearest_centroid(sc2.where("is_train"), L2_FEATURES, "label")
     return nc.transform(sc2).select("client_id", "label", "prediction",
                                     F.col("raw_duration").alias("duration"))
@@ -457,6 +481,15 @@ def q_filter_probability(spark, sf_dir):
     return trimmed(spark, sf_dir).select("client_id", "label")
 
 
+MIDDLE_P = 0.67
+
+
+@query("filter_probability_middle", f"WITH {TWO_LAYER_CTE} SELECT client_id, label FROM trimmed".replace(f"l1.prob0 < {TRIM_P}", f"l1.prob0 < {MIDDLE_P}"))
+def q_filter_probability_middle(spark, sf_dir):
+    """A trim level inside the range of the scores: some rows go, some stay."""
+    return trimmed(spark, sf_dir, MIDDLE_P).select("client_id", "label")
+
+
 @query("two_layer", f"WITH {TWO_LAYER_CTE} SELECT client_id, label, prediction FROM layer")
 def q_two_layer(spark, sf_dir):
     return two_layer(spark, sf_dir).select("client_id", "label", "prediction")

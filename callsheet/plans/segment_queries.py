@@ -58,7 +58,7 @@ def segmented(spark, sf_dir) -> DataFrame:
 
 @query("svd_variance")
 def q_svd_variance(spark, sf_dir):
-    return SG.svd_variance(encoded(spark, sf_dir), "features", SVD_K)
+    return SG.svd_variance(encoded(spark, sf_dir), "features")
 
 
 @query("svd_project")

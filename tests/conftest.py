@@ -18,6 +18,7 @@ def spark():
     s = (SparkSession.builder.master("local[*]").appName("callsheet-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "8g")
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
