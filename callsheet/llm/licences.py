@@ -1,13 +1,18 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised (letters and digits in lower
-case, one space between) and looked up among known licence sentences; what is
-left of a document is the sequence of their identifiers. Licence rules are
+A text is cut into pieces at line ends and punctuation, each is normalised
+(letters and digits in lower case, one space between; comment marks go with the
+other signs). Known licence sentences are found where they are a piece, or
+pieces in a row that only single line ends, ``;`` or ``:`` part, so that a
+licence is the same however its lines are wrapped; what is left of a document
+is the sequence of the sentences' identifiers. Licence rules are
 ordered identifier sequences: a rule matches where its identifiers follow one
 another in that sequence (unknown sentences between them, such as copyright
 lines, don't count). All of it is expressions on the row: no shuffle, no UDF.
 
-Defined cases: a null or empty text has no sentences and no licence; repeated
+Defined cases: a null or empty text has no sentences and no licence;
+``n_sentences`` counts pieces; of known sentences that overlap, the one that
+begins first is taken, then the longest; repeated
 sentences repeat in the sequence; input columns named like an output are
 replaced by it.
 """
@@ -94,29 +99,37 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-work"]),
     ("Unlicense", ["unlicense"]),
 ]
-#: a sentence ends at a line's end, or at one of these before a blank
-SENTENCE_END = r"([.!?;:])[\x20\x09-\x0D]+"
+#: a sentence ends at one of these before a blank; a piece of one also at these, and at a line's end
+SENTENCE_END, PIECE_END = r"[.!?][\x20\x09-\x0D]+", r"[;:][\x20\x09\x0B-\x0D]*[\x20\x09-\x0D]"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, those without a letter or digit left out."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1\n"), "\n", -1)
-    plain = F.transform(cut, lambda x: F.trim(F.lower(F.regexp_replace(x, "[^A-Za-z0-9]+", " "))))
-    return F.filter(plain, lambda x: x != "")
+def pieces(text: Column) -> Column:
+    """The normalised text: a line per piece, and an empty line (or several)
+    where a sentence ends: at its punctuation before a blank, and at a line
+    that has no letter or digit."""
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "\n\n")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(cut, PIECE_END, "\n"), "[^A-Za-z0-9\n]+", " "))
+    return F.trim(F.regexp_replace(plain, " ?\n ?", "\n"))
+
+
+def known_pattern(known: dict[str, str]) -> str:
+    """Matches whole known sentences, the longest first: each is a piece, or
+    pieces that follow one another in one sentence."""
+    each = sorted(set(known.values()), key=lambda x: (-len(x), x))
+    return "(?m)^(?:" + "|".join(x.replace(" ", "[ \\n]") for x in each) + ")$"
 
 
 def scan(docs: DataFrame, text: str = "text", known: dict[str, str] = SENTENCES,
          rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
-    """``docs`` with ``n_sentences``, ``sentence_ids`` (array, in the order of
+    """``docs`` with ``n_sentences`` (pieces), ``sentence_ids`` (array, in the order of
     the text) and ``licences`` (array, in the order of the rules). A rule that
     is the beginning of a longer matching one of another licence is dropped:
     three of four BSD sentences are not a licence of their own."""
     out = frames.without(docs, ["n_sentences", "sentence_ids", "licences"])
     ids = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
-    longest = max(map(len, known.values()))
-    cut = out.withColumn("_s", sentences(out[text])) \
-        .withColumn("sentence_ids", F.transform(F.filter("_s", lambda x: F.length(x) <= longest), lambda x: F.try_element_at(ids, x))) \
-        .withColumn("sentence_ids", F.filter("sentence_ids", lambda x: x.isNotNull()))
+    found = F.regexp_extract_all("_p", F.lit(known_pattern(known)), 0)
+    cut = out.withColumn("_p", pieces(out[text])) \
+        .withColumn("sentence_ids", F.transform(found, lambda x: F.try_element_at(ids, F.translate(x, "\n", " "))))
     path = F.concat(F.lit("/"), F.array_join("sentence_ids", "/"), F.lit("/"))
     found = []
     for name, steps in rules:
@@ -126,7 +139,7 @@ def scan(docs: DataFrame, text: str = "text", known: dict[str, str] = SENTENCES,
         for r in longer:
             rest = F.replace(rest, F.lit("/" + "/".join(r) + "/"), F.lit("/"))
         found.append(F.when(F.contains(rest, F.lit(here)), name))
-    return cut.withColumn("n_sentences", F.size("_s").cast("long")) \
+    return cut.withColumn("n_sentences", F.regexp_count("_p", F.lit("[^\\n]+")).cast("long")) \
         .withColumn("licences", F.when(F.size("sentence_ids") == 0, F.array().cast("array<string>"))
                     .otherwise(F.array_distinct(F.array_compact(F.array(*found))))) \
         .select(*[F.col(f"`{c}`") for c in out.columns], "n_sentences", "sentence_ids", "licences")
