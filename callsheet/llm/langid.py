@@ -10,12 +10,15 @@ language with the least wins.
 The automata are tables (state x symbol -> state, with a flag where a phrase
 ends), so that many texts are parsed side by side, a symbol per step; texts are
 parsed in segments of ``SEGMENT`` symbols, all of them, to bound the steps.
-Symbols are lower-cased letters; whatever is no letter is a blank.
+Symbols are lower-cased letters, each one its own; whatever is no letter is a
+blank. The tables are dense for the ``OWN`` most frequent letters; transitions by
+any other are looked up in a sorted list (as exact, and slower: it serves scripts
+of thousands of letters).
 
 Training uses a bounded sample: at most ``SAMPLE`` characters per language, of
 documents in the order of a hash of their ids, at most ``SAMPLE_DOC`` of each.
-The tables hold at most 2 * SAMPLE * SYMBOLS entries a language and are
-broadcast; scoring runs over every whole text in its own task, no shuffle.
+The tables hold at most 2 * SAMPLE * SYMBOLS entries a language, the lists 3 *
+SAMPLE, and are broadcast; scoring runs over every whole text in its own task, no shuffle.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0;
 so is every text if no language was learned; ties go to the language first in
@@ -39,8 +42,11 @@ from callsheet.llm import frames
 from callsheet.llm.words import buffers, slices
 
 SAMPLE, SAMPLE_DOC, SEGMENT = 12_000, 2_000, 512
-#: symbol 0: no letter; up to OWN: the most frequent letters; the others share the rest
-SYMBOLS, OWN = 96, 80
+#: symbol 0: no letter; up to OWN: the most frequent letters; above: OWN + 1 + code point of any other
+OWN = 80
+SYMBOLS = OWN + 1
+#: bits of a symbol in the key of a transition
+BITS = 21
 UNKNOWN = "und"
 ENDS = np.int32(-2**31)
 
@@ -49,12 +55,12 @@ def alphabet(texts: list[str]) -> np.ndarray:
     """Code point -> symbol, learned from the sample."""
     known = Counter(c for x in texts for c in x.lower() if unicodedata.category(c)[0] == "L")
     own = {ord(c): k for k, (c, _) in enumerate(sorted(known.items(), key=lambda x: (-x[1], x[0]))[:OWN], 1)}
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.int32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = ord(c.lower()[0])
-            out[i] = own.get(low, OWN + 1 + low % (SYMBOLS - OWN - 1))
+            out[i] = own.get(low, OWN + 1 + low)
     return out
 
 
@@ -89,20 +95,28 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def parse_table(symbols: list[int]) -> np.ndarray:
-    """The automaton as one array: where no longer match exists, the entry
-    starts a new phrase and is flagged. One more state, the last, stands after
-    a symbol that the text hasn't; such a symbol is a phrase of its own."""
+def parse_table(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The automaton as one array for the symbols up to ``OWN``: where no longer
+    match exists, the entry starts a new phrase and is flagged. One more state,
+    the last, stands after a symbol that the text hasn't; such a symbol is a
+    phrase of its own. Then the transitions by other symbols: sorted keys (state
+    and symbol) and states."""
     step = suffix_automaton(symbols)
     root = np.full(SYMBOLS, len(step), np.int32)
     for c, to in step[0].items():
-        root[c] = to
+        if c <= OWN:
+            root[c] = to
     out = np.broadcast_to(root | ENDS, (len(step) + 1, SYMBOLS)).copy()
     out[0] = root
+    rare: dict[int, int] = {}
     for state, to in enumerate(step):
-        if to:
-            out[state, list(to)] = list(to.values())
-    return out.ravel()
+        for c, t in to.items():
+            if c <= OWN:
+                out[state, c] = t
+            else:
+                rare[state << BITS | c] = t
+    keys = sorted(rare)
+    return out.ravel(), np.array(keys, np.int64), np.array([rare[k] for k in keys], np.int32)
 
 
 class Model:
@@ -112,15 +126,32 @@ class Model:
         self.langs = sorted(texts)
         self.symbol = alphabet(list(texts.values()))
         tables, self.start, self.cost, at = [], [], [], 0
+        keys, states, self.unknown = [np.array([-1])], [np.zeros(1, np.int32)], []  # one that no key equals
         for lang in self.langs:
             code = np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32)
-            one = parse_table(self.symbol[code].tolist())
+            one, key, to = parse_table(self.symbol[code].tolist())
             tables.append((one & ~ENDS) + at | (one & ENDS))
             self.start.append(at)
             self.cost.append(float(np.log2(max(2, len(code)))))
+            keys.append(key + (at << BITS))
+            states.append(to + np.int32(at))
             at += len(one) // SYMBOLS
+            self.unknown.append(at - 1)
+        self.keys, self.states = np.concatenate(keys), np.concatenate(states)
         self.table = np.concatenate(tables) if tables else np.empty(0, np.int32)
 
+    def rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """What the table would hold for symbols above ``OWN``."""
+        def step(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return self.keys[at] == key, self.states[at]
+
+        start = np.array(self.start, np.int64)[:, None]
+        hit, to = step(state << BITS | symbol)
+        anew, first = step(start << BITS | symbol)
+        first = np.where(anew, first, np.array(self.unknown, np.int32)[:, None])
+        return np.where(hit, to, np.where(state == start, first, first | ENDS))
+
     def phrases(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Phrases of every segment (rows) in every language (columns)."""
         order = np.argsort(-size, kind="stable")
@@ -130,7 +161,11 @@ class Model:
         active = len(order) - np.cumsum(np.bincount(n, minlength=int(n.max()) + 1)) if len(n) else []
         for j in range(int(n[0]) if len(n) else 0):
             m = int(active[j])
-            got = self.table[state[:, :m] * SYMBOLS + symbols[begin[:m] + j]]
+            symbol = symbols[begin[:m] + j]
+            rare = np.flatnonzero(symbol > OWN)
+            got = self.table[state[:, :m] * SYMBOLS + np.minimum(symbol, OWN)]
+            if len(rare):
+                got[:, rare] = self.rare(state[:, rare], symbol[rare])
             count[:, :m] += got < 0
             state[:, :m] = got & ~ENDS
         out = np.empty((len(order), len(self.langs)), np.int32)
