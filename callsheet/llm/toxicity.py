@@ -5,7 +5,9 @@ The kernel of two words is the cosine of their gap-weighted subsequences: all
 ``i < j < k`` at most ``SPAN`` apart, each skipped character costing a factor
 ``DECAY``, so that an insult with characters left out, inserted or appended
 still shares most of them. Words are delimited by a mark on each side; single
-letters in a row count as one word. Landmarks are words of the labelled sample:
+letters in a row count as one word. A few signs between two letters end a word,
+and are also read as put into a longer one; ``$ ! | +`` beside a letter also as
+the letters they are written for. Landmarks are words of the labelled sample:
 those that its toxic documents hold far more often than its clean ones, and
 common ones. The machine learns the former from the sentences of clean documents:
 each gives its most suspicious word, and the worst of them join the negative
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsheet.llm import frames
-from callsheet.llm.words import LOWER, slices, words
+from callsheet.llm.words import LOWER, buffers, slices, words_of
 
 SAMPLE, SAMPLE_BYTES = 1_500, 32 << 10
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, COMMON, SUSPECTS, ROUNDS = 160, 40, 2_000, 3_000, 4
@@ -60,24 +62,90 @@ for _sign, _letter in zip("013457@", "oieasta"):
 INSIDE = SYMBOL > 0
 INSIDE[[ord(c) for c in "2689-_'"]] = True
 INSIDE[0x41:0x5B] = True
-
-
-def _layout(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, word heads, words per text): all words one after another with
-    a mark before each and one at the end; a head is the place of a mark."""
-    w = words(col, INSIDE, LOWER)
-    n = w.end - w.start
+#: signs that end a word, but up to FEW in a row between its letters are also read as put in
+SIGN = np.zeros(256, bool)
+SIGN[0x21:0x7F] = True
+SIGN &= ~INSIDE
+FEW = 3
+#: Signs written for letters where they touch one; apart from that they end words.
+SIGNED = SYMBOL.copy()
+for _sign, _letter in zip("$!|+", "silt"):
+    SIGNED[ord(_sign)] = SYMBOL[ord(_letter)]
+READ = np.arange(256, dtype=np.uint8)
+for _sign, _letter in zip("$!|+", "silt"):
+    READ[ord(_sign)] = ord(_letter)
+
+
+def _spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the words in folded bytes; single letters in a row
+    have one start and one end."""
+    w = words_of(buf, offs, INSIDE)
     doc = w.doc
-    glued = np.zeros(len(n), bool)  # single letters in a row
-    glued[1:] = (n[1:] == 1) & (n[:-1] == 1) & (doc[1:] == doc[:-1])
-    byte = np.arange(int(n.sum())) + np.repeat(w.start - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.empty(0, np.int64)
-    symbol = SYMBOL[w.buf[byte]]
+    one = (w.end - w.start) == 1
+    glued = np.zeros(len(one), bool)
+    glued[1:] = one[1:] & one[:-1] & (doc[1:] == doc[:-1])
+    first = np.flatnonzero(~glued)
+    last = np.append(first[1:], len(one))[:len(first)] - 1
+    return w.start[first], w.end[last], doc[first]
+
+
+def _signed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text, kind) of the words that hold signs: a few between two
+    letters, or ones written for letters beside one. Kind 1: those are read as
+    their letters; 2: as put in, like all others (only where that differs)."""
+    n, sign, inside = len(buf), SIGN[buf], INSIDE[buf]
+    cut = np.zeros(n + 1, bool)
+    cut[offs] = True
+    head, tail = sign.copy(), sign.copy()
+    head[1:] &= ~sign[:-1] | cut[1:n]
+    tail[:-1] &= ~sign[1:] | cut[1:n]
+    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    left = inside[start - 1] & ~cut[start]
+    right = inside[np.minimum(end, n - 1)] & ~cut[end]
+    plain = np.concatenate(([0], np.cumsum(sign & (SIGNED[buf] == 0))))  # signs that stand for no letter
+    ok = (end - start <= FEW) & (left & right | (left | right) & (plain[end] == plain[start]))
+    step = np.zeros(n + 1, np.int8)
+    step[start[ok]] += 1
+    step[end[ok]] -= 1
+    put = np.cumsum(step[:n]) > 0
+    w = words_of(np.where(put, ord("a"), np.where(sign, 0x20, buf)).astype(np.uint8), offs, INSIDE)
+    count = np.concatenate(([0], np.cumsum(put)))
+    letter = np.concatenate(([0], np.cumsum(put & (SIGNED[buf] > 0))))
+    one = np.flatnonzero(count[w.end] > count[w.start])
+    two = np.flatnonzero(letter[w.end] > letter[w.start])
+    both = np.concatenate((one, two))
+    return w.start[both], w.end[both], w.doc[both], np.repeat([1, 2], [len(one), len(two)])
+
+
+def _layout(col: pa.Array, signs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, word heads, words per text): all words one after another with
+    a mark before each and one at the end; a head is the place of a mark. With
+    ``signs``, a word with signs put in or written for letters counts beside
+    the words that these signs part."""
+    seq, head, count, _ = _placed(col, signs)
+    return seq, head, count
+
+
+def _placed(col: pa.Array, signs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The layout, and per word (start, end, kind) in the folded bytes."""
+    buf, offs = buffers(col)
+    buf = LOWER[buf]
+    start, end, doc = _spans(buf, offs)
+    kind = np.zeros(len(start), np.int64)
+    if signs and len(buf):
+        start, end, doc, kind = (np.concatenate(x) for x in zip((start, end, doc, kind), _signed(buf, offs)))
+        order = np.argsort(doc, kind="stable")
+        start, end, doc, kind = start[order], end[order], doc[order], kind[order]
+    n = end - start
+    owner = np.repeat(np.arange(len(n)), n)
+    byte = buf[np.arange(len(owner)) + np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n)] if len(n) else buf[:0]
+    symbol = np.where(kind[owner] == 1, SIGNED[byte], SYMBOL[byte])
     full = symbol > 0  # what has none is as if it weren't there
-    n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
-    head = np.concatenate(([0], np.cumsum(n + ~glued)))
+    n = np.bincount(owner[full], minlength=len(n))
+    head = np.concatenate(([0], np.cumsum(n + 1)))
     seq = np.full(head[-1] + 1, MARK, np.int32)
-    seq[np.arange(len(byte) - np.count_nonzero(~full)) + np.repeat(head[1:] - np.cumsum(n), n)] = symbol[full]
-    return seq, head[:-1][~glued], np.bincount(doc[~glued], minlength=len(w.first) - 1)
+    seq[np.arange(np.count_nonzero(full)) + np.repeat(head[1:] - np.cumsum(n), n)] = symbol[full]
+    return seq, head[:-1], np.bincount(doc, minlength=len(offs) - 1), [start, end, kind, buf]
 
 
 def _subsequences(seq: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -105,7 +173,7 @@ def word_sums(seq: np.ndarray, heads: np.ndarray, table: np.ndarray) -> np.ndarr
 
 def features(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit feature vectors of words as triples (word, feature, value)."""
-    seq, heads, _ = _layout(pa.array(some, pa.string()))
+    seq, heads, _ = _layout(pa.array(some, pa.string()), signs=False)
     owner = np.searchsorted(heads, np.arange(len(seq)), "right") - 1
     row, col, val, norm = [], [], [], np.zeros(len(heads))
     for at, feature, weight in _subsequences(seq):
@@ -271,22 +339,17 @@ def fit(texts: list[str], labels: list[int], odds: float | None = None) -> Model
 def _suspect(sentences: list[str], table: np.ndarray) -> list[tuple[float, str]]:
     """(sum, word): the word with the largest sum of each sentence that has one."""
     col = pa.array(sentences, pa.string())
-    seq, heads, count = _layout(col)
+    seq, heads, count, (start, end, kind, buf) = _placed(col, True)
     if not len(heads):
         return []
     got = word_sums(seq, heads, table)
-    w = words(col, INSIDE, LOWER)
-    n = w.end - w.start
-    glued = np.zeros(len(n), bool)
-    glued[1:] = (n[1:] == 1) & (n[:-1] == 1) & (w.doc[1:] == w.doc[:-1])
-    first = np.flatnonzero(~glued)
-    last = np.append(first[1:], len(n)) - 1
     out, at = [], 0
     for c in count.tolist():
         if c:
             k = at + int(np.argmax(got[at:at + c]))
-            raw = b"".join(w.buf[s:e].tobytes() for s, e in zip(w.start[first[k]:last[k] + 1], w.end[first[k]:last[k] + 1]))
-            out.append((float(got[k]), raw.decode("utf-8", "replace")))
+            raw = buf[start[k]:end[k]]
+            raw = READ[raw] if kind[k] == 1 else raw
+            out.append((float(got[k]), raw[INSIDE[raw]].tobytes().decode("utf-8", "replace")))
         at += c
     return out
 
