@@ -21,12 +21,18 @@ from pyspark.sql import functions as F
 
 from callsheet.session import persist
 
-# One path for every width: fits use the vector Summarizer, scores one loop
-# expression over a constant array, so that the generated code stays small.
+# One path for every width: fits use the vector Summarizer, scores fold a
+# constant array with the row's features, in time linear in their number.
 # Null rule: a row with a null feature (or label) takes no part in a fit and
 # gets a null prediction.
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, in whatever filter or
+    projection the optimiser puts the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _argmax(scores: dict[int, Column]) -> Column:
     """Class of the highest score; ties go to the smallest class."""
     best = F.greatest(*[F.struct(s.alias("s"), F.lit(-c).alias("nc")) for c, s in scores.items()]) \
@@ -51,15 +57,25 @@ def _softmax(scores: dict[int, Column]) -> Column:
     return F.array(*[e / total for e in exps])
 
 
-def _score(df: DataFrame, features: Sequence[str], scores: dict[int, Column], prediction: str, probability: str) -> DataFrame:
-    """Evaluate every class score once (into a temporary array), then take
-    the argmax and the softmax from it; null for an incomplete row."""
-    classes = list(scores)
-    df = df.withColumn("_scores", F.array(*scores.values()))
-    ref = {c: F.col("_scores")[i] for i, c in enumerate(classes)}
-    full = _complete(features)
-    return df.withColumn(prediction, F.when(full, _argmax(ref))) \
-        .withColumn(probability, F.when(full, _softmax(ref))).drop("_scores")
+def _score(df: DataFrame, features: Sequence[str], scores, prediction: str, probability: str) -> DataFrame:
+    """Argmax and softmax of the class scores (``scores(x)`` by class, of the
+    feature array ``x``), each score evaluated once; null for an incomplete row."""
+    both = F.struct(F.lit(None).cast("int").alias("c"), F.lit(None).cast("array<double>").alias("p"))
+    got = F.when(_complete(features), _of_scores(features, scores, lambda s: F.struct(_argmax(s).alias("c"), _softmax(s).alias("p")))).otherwise(both)
+    df = df.withColumn("_scored", got)
+    return df.withColumn(prediction, F.col("_scored")["c"]).withColumn(probability, F.col("_scored")["p"]).drop("_scored")
+
+
+def _of_scores(features: Sequence[str], scores, body) -> Column:
+    """``body`` of the class scores of a row: the feature array and every score are evaluated once."""
+    classes: list[int] = []
+
+    def scored(x: Column) -> Column:
+        by = scores(x)
+        classes[:] = by
+        return F.array(*by.values())
+
+    return _let(_let(_x_array(features), scored), lambda s: body({c: s[i] for i, c in enumerate(classes)}))
 
 
 def _complete(features: Sequence[str]) -> Column:
@@ -73,13 +89,16 @@ def _class_moments(train: DataFrame, features: Sequence[str], label: str) -> lis
     one row per class."""
     features = list(features)
     vec = array_to_vector(F.array(*[F.col(f).cast("double") for f in features]))
-    summ = Summarizer.metrics("count", "mean", "variance").summary(vec).alias("_s")
+    summ = Summarizer.metrics("count", "mean", "variance", "min", "max", "numNonZeros", "normL1").summary(vec).alias("_s")
     out = []
     for r in train.dropna(subset=[label, *features]).groupBy(label).agg(summ).collect():
         s = r["_s"]
         n = int(s["count"])
         d = {label: r[label], "_n": n}
         mean, var = s["mean"].toArray(), s["variance"].toArray()
+        ones, total = s["numNonZeros"].toArray(), s["normL1"].toArray()
+        # 0/1 columns: nothing outside [0, 1], and as many non-zeros as their sum
+        d["_ones"] = {j: int(ones[j]) for j in range(len(features)) if s["min"][j] >= 0 and s["max"][j] <= 1 and ones[j] == total[j]}
         for i in range(len(features)):
             d[f"m_{i}"] = float(mean[i])
             d[f"v_{i}"] = float(var[i]) * (n - 1) / n if n > 1 else 0.0   # sample -> population
@@ -98,14 +117,12 @@ def _const_array(values) -> Column:
 def _loop_sum(x: Column, start: float, centre, scale, kind: str) -> Column:
     """start - sum_j term_j, folded left to right like the explicit form:
     kind 'gauss': (x_j - c_j)^2 / s_j subtracted; 'sq' / 'abs': distances added."""
-    c, d = _const_array(centre), _const_array(scale) if scale is not None else None
-    idx = F.sequence(F.lit(0), F.lit(len(centre) - 1))
+    c = _const_array(centre)
     if kind == "gauss":
-        return F.aggregate(idx, F.lit(float(start)),
-                           lambda acc, j: acc - F.pow(x[j] - c[j], 2) / d[j])
-    if kind == "sq":
-        return F.aggregate(idx, F.lit(0.0), lambda acc, j: acc + (x[j] - c[j]) * (x[j] - c[j]))
-    return F.aggregate(idx, F.lit(0.0), lambda acc, j: acc + F.abs(x[j] - c[j]))
+        terms = F.zip_with(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), _const_array(scale), lambda a, d: a / d)
+        return F.aggregate(terms, F.lit(float(start)), lambda acc, t: acc - t)
+    term = (lambda a, b: (a - b) * (a - b)) if kind == "sq" else (lambda a, b: F.abs(a - b))
+    return F.aggregate(F.zip_with(x, c, term), F.lit(0.0), lambda acc, t: acc + t)
 
 
 # ------------------------------------------------------------ Gaussian NB
@@ -127,12 +144,16 @@ class GaussianNBModel:
                                {c: [x + more for x in v] for c, v in self.variances.items()}, self.largest, var_smoothing)
 
     def predicted(self) -> Column:
-        return F.when(_complete(self.features), _argmax(self.scores()))
+        return F.when(_complete(self.features), _of_scores(self.features, self.scores, _argmax))
 
-    def scores(self) -> dict[int, Column]:
-        """Joint log-likelihood per class."""
+    def probability(self, of: int) -> Column:
+        """Probability of one class; null for an incomplete row."""
+        at = self.classes.index(of)
+        return F.when(_complete(self.features), _of_scores(self.features, self.scores, lambda s: _softmax(s)[at]))
+
+    def scores(self, x: Column) -> dict[int, Column]:
+        """Joint log-likelihood per class of the feature array ``x``."""
         out = {}
-        x = _x_array(self.features)
         for c in self.classes:
             const = self.log_prior[c] - 0.5 * sum(math.log(2 * math.pi * v) for v in self.variances[c])
             out[c] = _loop_sum(x, const, self.means[c], [2 * v for v in self.variances[c]], "gauss")
@@ -140,7 +161,7 @@ class GaussianNBModel:
 
     def transform(self, df: DataFrame, prediction: str = "prediction",
                   probability: str = "probability") -> DataFrame:
-        return _score(df, self.features, self.scores(), prediction, probability)
+        return _score(df, self.features, self.scores, prediction, probability)
 
 
 def gaussian_nb(train: DataFrame, features: Sequence[str], label: str = "label",
@@ -176,9 +197,8 @@ class NearestCentroidModel:
     centroids: dict[int, list[float]]
     metric: str = "euclidean"
 
-    def distances(self) -> dict[int, Column]:
+    def distances(self, x: Column) -> dict[int, Column]:
         out = {}
-        x = _x_array(self.features)
         for c in self.classes:
             out[c] = _loop_sum(x, 0.0, self.centroids[c], None, "abs" if self.metric == "manhattan" else "sq")
         return out
@@ -187,7 +207,7 @@ class NearestCentroidModel:
         return df.withColumn(prediction, self.predicted())
 
     def predicted(self) -> Column:
-        return F.when(_complete(self.features), _argmin(self.distances()))
+        return F.when(_complete(self.features), _of_scores(self.features, self.distances, _argmin))
 
 
 @dataclass
@@ -205,14 +225,20 @@ def centroid_parts(train: DataFrame, features: Sequence[str], label: str = "labe
     rows = _class_moments(train, features, label)
     cent = {int(r[label]): [r[f"m_{j}"] for j in range(len(features))] for r in rows}
     if metric == "manhattan":
-        # class medians, exact, without gathering a class into one task
+        # class medians, exact, without gathering a class into one task; those
+        # of 0/1 columns follow from their counts
         from callsheet.operators.quantiles import exact_quantiles
-        # kept as plain columns: the unpivot below would repeat every feature's expression
-        plain = persist(train.dropna(subset=[label, *features]).select(label, F.array(*[F.col(f).cast("double") for f in features]).alias("_f")))
-        long = plain.select(label, F.posexplode("_f").alias("_j", "_x"))
-        for r in exact_quantiles(long, [label, "_j"], "_x", [0.5]).collect():
-            cent[int(r[label])][int(r["_j"])] = r["q"]
-        plain.unpersist()
+        for r in rows:
+            for j, k in r["_ones"].items():
+                cent[int(r[label])][j] = 0.5 if 2 * k == r["_n"] else float(2 * k > r["_n"])
+        wide = [j for j in range(len(features)) if any(j not in r["_ones"] for r in rows)]
+        if wide:
+            # kept as plain columns: the unpivot below would repeat every feature's expression
+            plain = persist(train.dropna(subset=[label, *features]).select(label, *[F.col(features[j]).cast("double").alias(f"_f{j}") for j in wide]))
+            long = plain.select(label, F.inline(F.array(*[F.struct(F.lit(j).alias("_j"), F.col(f"_f{j}").alias("_x")) for j in wide])))
+            for r in exact_quantiles(long, [label, "_j"], "_x", [0.5]).collect():
+                cent[int(r[label])][int(r["_j"])] = r["q"]
+            plain.unpersist()
     return CentroidParts(features, [{**r, "_c": int(r[label])} for r in rows], cent, metric)
 
 
@@ -259,26 +285,32 @@ class QDAModel:
     rotations: dict[int, np.ndarray]
     scalings: dict[int, np.ndarray]
 
-    def scores(self) -> dict[int, Column]:
+    def scores(self, x: Column) -> dict[int, Column]:
         out = {}
-        x = _x_array(self.features)
         for c in self.classes:
             const = self.log_prior[c] - 0.5 * float(np.sum(np.log(self.scalings[c])))
             rot, sc = self.rotations[c], self.scalings[c]
             if np.allclose(sc, 1.0):
                 out[c] = _loop_sum(x, const, self.means[c], [2.0] * len(sc), "gauss")
                 continue
-            # the rotation as one constant array of rows; each projection is a loop over the features
-            turn, mean = F.array(*[_const_array(rot[:, k]) for k in range(len(sc))]), _const_array(self.means[c])
-            places = F.sequence(F.lit(0), F.lit(len(self.features) - 1))
-            z = F.transform(turn, lambda r: F.aggregate(places, F.lit(0.0), lambda acc, j: acc + r[j] * (x[j] - mean[j])))
-            half = _const_array([0.5 / float(v) for v in sc])
-            out[c] = F.aggregate(F.transform(z, lambda v, k: v * v * half[k]), F.lit(const), lambda acc, t: acc - t)
+            centred = F.zip_with(x, _const_array(self.means[c]), lambda a, m: a - m)
+            out[c] = _let(centred, _turned(rot, sc, const))
         return out
 
     def transform(self, df: DataFrame, prediction: str = "prediction",
                   probability: str = "probability") -> DataFrame:
-        return _score(df, self.features, self.scores(), prediction, probability)
+        return _score(df, self.features, self.scores, prediction, probability)
+
+
+def _turned(rot: np.ndarray, scalings: np.ndarray, start: float):
+    """Gaussian score of a centred feature array: the rotation is one constant
+    array of rows, each met with the array once."""
+    turn, half = F.array(*[_const_array(rot[:, k]) for k in range(len(scalings))]), _const_array([0.5 / float(v) for v in scalings])
+
+    def score(v: Column) -> Column:
+        along = F.transform(turn, lambda r: F.aggregate(F.zip_with(r, v, lambda a, b: a * b), F.lit(0.0), lambda acc, y: acc + y))
+        return F.aggregate(F.zip_with(along, half, lambda z, w: z * z * w), F.lit(start), lambda acc, y: acc - y)
+    return score
 
 
 PAIRS = 300

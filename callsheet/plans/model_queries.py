@@ -455,13 +455,12 @@ layer AS (SELECT l2.client_id, l2.label, l2.prediction, sc2.raw_duration AS dura
 def trimmed(spark, sf_dir, level: float = TRIM_P) -> DataFrame:
     """Layer 1: Gaussian NB without the call columns; keep rows whose
     P(no) is below the trim level (the rest are not worth a call)."""
-    lab = labeled(spark, sf_dir)
+    lab = persist(labeled(spark, sf_dir))
     stats = P.fit_standardize(lab.where("is_train"), L1_NUMERIC)
     sc1 = with_indicators(P.apply_standardize(lab, stats, suffix="_z"))
     z = [f"{f}_z" if f in L1_NUMERIC else f for f in L1_FEATURES]
     nb = MD.gaussian_nb(sc1.where("is_train"), z, "label")
-    scored = nb.transform(sc1, "_p1", "_prob1")
-    return scored.where(F.col("_prob1")[0] < level).select(*[c for c in lab.columns if c != "is_train"])
+    return sc1.where(nb.probability(0) < level).select(*[c for c in lab.columns if c != "is_train"])
 
 
 def two_layer(spark, sf_dir) -> DataFrame:
