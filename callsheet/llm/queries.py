@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import decontam, jaccard, langid, licences, mixing, ngram_lm, phrases, rules, sharding, substring, toxicity
+from callsheet.llm import decontam, jaccard, langid, licences, mixing, ngram_lm, phrases, repair, rules, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -239,3 +239,56 @@ SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN total ON total.lang =
 def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest phrases of every language."""
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) AS x(i))),
+conv AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+r AS (SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             list_concat([4294967295::UBIGINT], list_transform(string_split(coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' ||
+             coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::UBIGINT)) AS b
+      FROM conversations c JOIN conv ON c.conv_id IS NOT DISTINCT FROM conv.conv_id),
+h AS (SELECT g, turn, role, text, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) % 256 AS BIGINT) + 1])), 4294967295::UBIGINT) % 20 AS how FROM r, tab),
+d AS (SELECT g, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+             CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE how > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+             row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+             regexp_matches(text, '[^ 	-]') AS filled, regexp_matches(text, '[.!?][ 	-]*$') AS whole FROM d),
+o AS MATERIALIZED (SELECT g, i, turn, role, text, role[1] AS ini, CASE WHEN NOT filled THEN 1 WHEN nth > 1 THEN 2 WHEN NOT whole THEN 3 ELSE 0 END AS fault,
+             lag(role[1]) OVER (PARTITION BY g ORDER BY i) AS last FROM f),
+m AS (SELECT conv.g, conv_id, count(o.i) AS n,
+             CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+             count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+             count(*) FILTER (last IS NOT NULL AND last || ini NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM conv LEFT JOIN o ON o.g = conv.g GROUP BY conv.g, conv_id),
+-- costs to go before row i, by state: nothing yet, after s, after u, after a
+back AS (SELECT g, n + 1 AS i, [0, 10, 5, 0] AS w FROM m
+  UNION ALL
+  SELECT g, i, [least(b0, 5 + u), least(b1, 5 + u), u, a] FROM (SELECT g, i, b0, b1, least(b2, 5 + b3) AS u, least(b3, 5 + b2) AS a FROM (
+    SELECT o.g, o.i, least(2 + w[1], x + 1 + w[3], CASE ini WHEN 's' THEN x + w[2] WHEN 'u' THEN x + w[3] END) AS b0,
+           least(2 + w[2], x + 1 + w[3], CASE ini WHEN 'u' THEN x + w[3] END) AS b1, least(2 + w[3], x + 1 + w[4], CASE ini WHEN 'a' THEN x + w[4] END) AS b2,
+           least(2 + w[4], x + 1 + w[3], CASE ini WHEN 'u' THEN x + w[3] END) AS b3
+    FROM back JOIN (SELECT *, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000 END AS x FROM o) AS o ON o.g = back.g AND o.i = back.i - 1))),
+here AS MATERIALIZED (SELECT b.g, b.i, b.w, a.w AS after, o.role, o.text, o.ini, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000 END AS x
+          FROM back b LEFT JOIN o ON o.g = b.g AND o.i = b.i LEFT JOIN back a ON a.g = b.g AND a.i = b.i + 1),
+walk AS (SELECT g, 1::BIGINT AS i, 0 AS s, '' AS audit, []::VARCHAR[] AS kept, 0 AS steps FROM m
+  UNION ALL
+  SELECT g, CASE e WHEN 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN keep ELSE next END, audit || e,
+         CASE e WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || text)
+                ELSE list_append(kept, CASE next WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE e WHEN 'R' THEN text ELSE '' END) END, steps + 1
+  FROM (SELECT *, CASE WHEN 2 + after[s + 1] = w[s + 1] THEN 'D' WHEN 5 + w[next + 1] = w[s + 1] THEN 'I' WHEN x + after[keep + 1] = w[s + 1] THEN 'K' ELSE 'R' END AS e
+        FROM (SELECT walk.*, w, after, role, text, x, CASE s WHEN 2 THEN 3 ELSE 2 END AS next,
+                     CASE WHEN ini = 's' AND s = 0 THEN 1 WHEN ini = 'u' AND s <> 2 THEN 2 WHEN ini = 'a' AND s = 2 THEN 3 END AS keep
+              FROM walk JOIN here ON here.g = walk.g AND here.i = walk.i WHERE after IS NOT NULL OR w[s + 1] > 0))),
+done AS (SELECT g, audit, kept FROM walk QUALIFY row_number() OVER (PARTITION BY g ORDER BY steps DESC) = 1)
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(back.w[1] AS BIGINT) AS cost, audit,
+       sha256(array_to_string(kept, chr(10))) AS repaired_sha256
+FROM m JOIN done ON done.g = m.g JOIN back ON back.g = m.g AND back.i = 1"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair.summary(repair.damaged(table(spark, sf_dir, "conversations")))
