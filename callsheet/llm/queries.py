@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import decontam, jaccard, langid, licences, mixing, ngram_lm, phrases, repair, rules, sharding, substring, toxicity
+from callsheet.llm import decontam, jaccard, langid, licences, mixing, ngram_lm, phrases, repair, rules, sharding, substring, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -255,7 +255,9 @@ d AS (SELECT g, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
              unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE how > 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
              row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
-             regexp_matches(text, '[^ 	-]') AS filled, regexp_matches(text, '[.!?][ 	-]*$') AS whole FROM d),
+             regexp_matches(text, '[^ 	-
+]') AS filled, regexp_matches(text, '[.!?][ 	-
+]*$') AS whole FROM d),
 o AS MATERIALIZED (SELECT g, i, turn, role, text, role[1] AS ini, CASE WHEN NOT filled THEN 1 WHEN nth > 1 THEN 2 WHEN NOT whole THEN 3 ELSE 0 END AS fault,
              lag(role[1]) OVER (PARTITION BY g ORDER BY i) AS last FROM f),
 m AS (SELECT conv.g, conv_id, count(o.i) AS n,
@@ -292,3 +294,28 @@ FROM m JOIN done ON done.g = m.g JOIN back ON back.g = m.g AND back.i = 1"""
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation and its cheapest repair."""
     return repair.summary(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+SUFFIX_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS id, row_number() OVER () AS r,
+                  regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+win AS (SELECT r, id, i, array_to_string(b[i:i + 49], '') AS x FROM (SELECT r, id, b, unnest(range(1, len(b) - 48)) AS i FROM d WHERE len(b) >= 50)),
+least AS (SELECT x, min(id) AS m FROM win GROUP BY x HAVING min(id) < max(id)),
+lost AS (SELECT r, i FROM win JOIN least USING (x) WHERE id > m),
+pos AS (SELECT r, p, b[p] AS b FROM (SELECT r, b, unnest(range(1, len(b) + 1)) AS p FROM d WHERE r IN (SELECT r FROM lost))),
+cover AS (SELECT pos.r, p, b, coalesce(max(i) OVER (PARTITION BY pos.r ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0, false) AS gone
+          FROM pos LEFT JOIN lost ON lost.r = pos.r AND i = p),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS begins FROM cover),
+g AS (SELECT r, count(*) FILTER (gone) AS n, count(*) FILTER (begins) AS spans, string_agg(b, '' ORDER BY p) FILTER (NOT gone) AS kept FROM edge GROUP BY r)
+SELECT doc_id, CAST(len(b) AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN array_to_string(b, '') ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN g USING (r)"""
+
+
+@query("op13_suffix_dedup", SUFFIX_SQL)
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document loses to documents of smaller id."""
+    got = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept_bytes", 256).alias("kept_sha256"))
