@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from callsheet.operators import dbscan as D
 from callsheet.operators import explore as X
 from callsheet.operators import gower as G
+from callsheet.operators import metric_dbscan as MDB
 from callsheet.operators import prep as P
 from callsheet.operators import segments as SG
 from callsheet.plans.registry import query
@@ -154,16 +155,40 @@ def q_dbscan_2d(spark, sf_dir):
     return D.dbscan(emb, "client_id", "x", "y", DBSCAN_EPS, DBSCAN_MIN)
 
 
-# Fixed values (the notebooks' first density run, on the Gower rows): eps 1.5, 4 points
+# Fixed values (the notebooks' first density run, on the rows of the full distance matrix): eps 1.5, 4 points
 GOWER_DBSCAN_EPS = 1.5
 GOWER_DBSCAN_MIN = 4
 
 
-@query("dbscan_gower")
+def _gower_dbscan_sql() -> str:
+    return f"""
+    WITH RECURSIVE d AS MATERIALIZED ({_gower_sql()}),
+    x AS MATERIALIZED (SELECT id_a AS id, list(d ORDER BY md5(CAST(landmark AS VARCHAR) || '{SEED}'), landmark) AS v FROM d GROUP BY id_a),
+    e AS (SELECT {GOWER_DBSCAN_EPS}::DOUBLE * sqrt(least({N_LANDMARKS}, count(*))::DOUBLE / count(*)) AS eps FROM x),
+    near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM x a, x b, e WHERE list_distance(a.v, b.v) <= e.eps),
+    core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {GOWER_DBSCAN_MIN}),
+    link AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    label(id, l) USING KEY (id) AS (SELECT id, id FROM core
+      UNION SELECT link.b, min(w.l) FROM label w JOIN link ON link.a = w.id JOIN recurring.label r ON r.id = link.b WHERE w.l < r.l GROUP BY link.b)
+    SELECT x.id AS client_id, CAST(coalesce(max(own.l), min(rim.l), -1) AS BIGINT) AS cluster, count(own.l) > 0 AS is_core
+    FROM x LEFT JOIN label own ON own.id = x.id
+           LEFT JOIN near ON near.a = x.id LEFT JOIN label rim ON rim.id = near.b GROUP BY x.id"""
+
+
+def gower_rows(spark, sf_dir) -> DataFrame:
+    """Subscribers with their distances to the landmark rows as an array."""
+    return G.gower_to_landmarks(subscribers(spark, sf_dir), "client_id", NUMERIC, CATEGORICAL, N_LANDMARKS, SEED, long=False)
+
+
+@query("dbscan_gower", _gower_dbscan_sql())
 def q_dbscan_gower(spark, sf_dir):
-    """Density clusters of the Gower rows (here their 2-D PCA embedding)."""
-    emb = gower_segmented(spark, sf_dir)
-    return D.dbscan(emb, "client_id", "pc1", "pc2", GOWER_DBSCAN_EPS, GOWER_DBSCAN_MIN)
+    """Density clusters of the distance rows. The notebook's rows hold a
+    distance to each of n rows, these to L of them: a distance between rows
+    is shorter by sqrt(L / n), and so is eps."""
+    rows = persist(gower_rows(spark, sf_dir))
+    n = rows.count()
+    eps = GOWER_DBSCAN_EPS * (min(N_LANDMARKS, n) / max(n, 1)) ** 0.5
+    return MDB.dbscan(rows, "client_id", "gower", eps, GOWER_DBSCAN_MIN)
 
 
 BALANCE_EDGES = (2000.0, 6000.0)
