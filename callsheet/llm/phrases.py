@@ -34,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callsheet.llm import frames
+from callsheet.llm import frames, tallies
 from callsheet.llm.words import LOWER, Words, buffers, mix, slices, window_hashes, words_of
 
 MOST = 4
 LEAST = 30
 TOP = 2000
-TRIGGER = 16
+TRIGGER = 32
 SLICE = 4 << 20
 #: bits of a level's map: 8 MB, whatever the input
 SLOTS = 1 << 26
 SALTS = 64
+#: bytes of text for one bucket of an exchange
+BUCKET = 16 << 20
 SCORE, INSIDE = 2_000_000, 80
 
 #: bytes that end a piece, and bytes of words
@@ -76,7 +78,7 @@ def canonical(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, chunk, own): the chunks of every text; ``own`` words start phrases."""
+    """(lang, text, k, n): the chunks of every text; k words of each start phrases."""
     overlap = MOST - 1
     for part in slices(batches, "text", SLICE):
         w = words_of(*buffers(part.column("text")), IN_WORD, LOWER)
@@ -93,16 +95,21 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = np.append(start[1:], n)
         stop = np.append(np.flatnonzero(np.diff(piece)) + 1, n)[piece[start]]
         end = np.where(after < stop, after + overlap, stop)
-        text, at = canonical(w)
-        data, offs = take_ranges(text, at[start], at[end] - 1)
-        lang = part.column("lang").take(pa.array(doc[start]))
-        yield pa.RecordBatch.from_arrays([lang, strings(data, offs), pa.array((after - start).astype(np.int32))], ["lang", "chunk", "own"])
+        yield _texts(*canonical(w), start, end, part.column("lang").take(pa.array(doc[start])), after - start, np.ones(len(start), np.int64))
 
 
-def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Distinct chunks (lang, chunk, own) of all texts and their number ``freq``."""
+def _texts(text: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, lang: pa.Array, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Runs of words, each ended by a newline, with two numbers."""
+    data, offs = take_ranges(text, at[start], at[end])
+    data[offs[1:] - 1] = 0x0A
+    return pa.RecordBatch.from_arrays([lang, strings(data, offs), pa.array(k.astype(np.int32)), pa.array(n)], ["lang", "text", "k", "n"])
+
+
+def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 8) -> DataFrame:
+    """Distinct chunks (lang, text, k) of all texts and their number n; the
+    phrases of a chunk start at its first k words."""
     src = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].alias("text"))
-    return src.mapInArrow(_parse, "lang string, chunk string, own int").groupBy("lang", "chunk", "own").agg(F.count(F.lit(1)).alias("freq"))
+    return tallies.by_text(src, _parse, buckets)
 
 
 class _Grams:
@@ -110,12 +117,12 @@ class _Grams:
     phrases of n words start, ``keys(n)`` holds their hashes by language."""
 
     def __init__(self, part: pa.RecordBatch):
-        self.w = words_of(*buffers(part.column("chunk")), IN_WORD)
+        self.w = words_of(*buffers(part.column("text")), IN_WORD)
         doc = self.w.doc
         place = np.arange(len(doc)) - self.w.first[:-1][doc]
         self.left = self.w.n[doc] - place
-        self.own = place < part.column("own").to_numpy()[doc]
-        self.freq = part.column("freq").to_numpy()[doc]
+        self.own = place < part.column("k").to_numpy()[doc]
+        self.freq = part.column("n").to_numpy()[doc]
         coded = part.column("lang").dictionary_encode()
         self.langs, self.lang = coded.dictionary, coded.indices.to_numpy()[doc]
         seeds = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in coded.dictionary.to_pylist()]
@@ -138,7 +145,7 @@ def _shifted(ok: np.ndarray, by: int) -> np.ndarray:
 
 
 def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64(SLOTS - 1)
+    slot = keys >> np.uint64(64 - tallies.KEY_BITS) & np.uint64(SLOTS - 1)
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -151,25 +158,23 @@ def _summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _by_hash(n: int, bits: list[np.ndarray]):
-    """(key, n): phrases of n words by hash; with the map of single words, only pairs of such."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "chunk", SLICE):
+    """Phrases of n words by hash; with the map of single words, only pairs of such."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in slices(batches, "text", SLICE):
             g = _Grams(part)
             ok = g.starts(n)
             if bits:
                 one = _in(bits[0], g.keys(1))
                 ok &= one & _shifted(one, 1)
             if ok.any():
-                keys = g.keys(n)[ok]
-                order, heads, sums = _summed(keys, g.freq[ok])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[order[heads]].view(np.int64)), pa.array(sums)], ["key", "n"])
+                yield g.keys(n)[ok], g.freq[ok]
     return count
 
 
 def _by_words(bits: list[np.ndarray]):
-    """(lang, phrase, k, n): phrases whose words and pairs are all in the maps."""
+    """(lang, text, k, n): phrases whose words and pairs are all in the maps."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "chunk", SLICE):
+        for part in slices(batches, "text", SLICE):
             g = _Grams(part)
             if not len(g.left):
                 continue
@@ -183,7 +188,7 @@ def _by_words(bits: list[np.ndarray]):
                 where = np.flatnonzero(ok)
                 if not len(where):
                     continue
-                keys, size = g.keys(n)[where], at[np.minimum(where + n, len(at) - 1)] - at[where]
+                keys, size = g.keys(n)[where], at[where + n] - at[where]
                 order, heads, sums = _summed(keys, g.freq[where])
                 group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
                 first = order[heads]
@@ -191,19 +196,15 @@ def _by_words(bits: list[np.ndarray]):
                 odd = (size[order] != size[first][group]) | (text[at[where[order]]] != text[at[where[first]]][group])
                 if odd.any():
                     first, sums = order, g.freq[where][order]
-                begin = at[where[first]]
-                data, offs = take_ranges(text, begin, begin + size[first] - 1)
-                lang = g.langs.take(pa.array(g.lang[where[first]]))
-                yield pa.RecordBatch.from_arrays([lang, strings(data, offs), pa.array(np.full(len(first), n, np.int32)), pa.array(sums)],
-                                                 ["lang", "phrase", "k", "n"])
+                start = where[first]
+                yield _texts(text, at, start, start + n, g.langs.take(pa.array(g.lang[start])), np.full(len(first), n), sums)
     return count
 
 
-def _bitmap(counts: DataFrame, least: int) -> np.ndarray:
-    """The fixed map of the hashes that reach ``least``."""
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The fixed map of the given hashes."""
     slot = F.col("key").bitwiseAND(SLOTS - 1) + 1
-    often = counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    parts = often.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     out = np.zeros(SLOTS // 8, np.uint8)
     for r in parts.collect():
         at = (r.b - 1) * len(r.bits)
@@ -211,13 +212,12 @@ def _bitmap(counts: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def phrase_counts(chunks: DataFrame, least: int = LEAST) -> DataFrame:
+def phrase_counts(chunks: DataFrame, least: int = LEAST, buckets: int = 8) -> DataFrame:
     """(lang, phrase, k, f): all phrases of up to ``MOST`` words with f >= ``least``."""
     bits: list[np.ndarray] = []
     for n in (1, 2):
-        bits.append(_bitmap(chunks.mapInArrow(_by_hash(n, list(bits)), "key long, n long"), least))
-    got = chunks.mapInArrow(_by_words(bits), "lang string, phrase string, k int, n long")
-    return got.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        bits.append(_bitmap(tallies.by_hash(chunks, _by_hash(n, list(bits)), buckets, least)))
+    return tallies.by_text(chunks, _by_words(bits), buckets, least).withColumnsRenamed({"text": "phrase", "n": "f"})
 
 
 def _exact(c) -> F.Column:
@@ -248,15 +248,17 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """The ``top`` phrases of every language: lang, rank, phrase, a (its
     count), l and r (those of the parts at its lowest cut), n (words of the
     language) and score = floor(2,000,000 a / (l + r))."""
-    chunks = frames.stored(dictionary(docs, text, lang), "chunks")
-    counts = frames.stored(phrase_counts(chunks, least), "phrases")
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(frames.partitions(docs.sparkSession), total // BUCKET + 1)
+    chunks = frames.stored(dictionary(docs, text, lang, buckets), "chunks")
+    counts = frames.stored(phrase_counts(chunks, least, buckets), "phrases")
     # first the best of every salt, so that no language is ranked in one task
     by = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = scored(counts).withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     window = F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*by))
     few = salted.withColumn("_at", window).where(F.col("_at") <= top)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by)).cast("long")).where(F.col("rank") <= top)
-    total = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("freq")).alias("n"))
+    total = chunks.groupBy("lang").agg(F.sum(F.col("k") * F.col("n")).alias("n"))
     out = frames.stored(ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
     frames.drop_stored(chunks)
     frames.drop_stored(counts)
