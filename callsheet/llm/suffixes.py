@@ -7,8 +7,8 @@ are judged on the input.
 1. Windows go to buckets by their minimiser, the smallest hash among their
    runs of ``GRAM`` bytes; consecutive windows that share it travel as one
    string. So equal windows meet, and no bucket needs a whole text. Of equal
-   strings of one slice only those of the smallest id travel; the others are
-   lost for certain.
+   strings (byte by byte) only those of the smallest id count, in a slice and
+   again in a bucket; the others are lost for certain.
 2. A bucket leaves out the strings whose minimiser no other document has. The
    others are cut, whole minimisers together, into parts of bounded size, and
    those into shards.
@@ -51,17 +51,20 @@ from callsheet.llm.phrases import take_ranges
 from callsheet.llm.words import buffers, mix, ragged, runs, slices
 
 WIDTH, GRAM = 50, 16
-SLICE, CHUNK = 4 << 20, 64 << 20
+SLICE, GATHER, CHUNK = 1 << 20, 8 << 20, 48 << 20
 #: bytes of strings in a bucket, of a part that is merged at once, of a shard
-BUCKET, PART, SHARD = 24 << 20, 2 << 20, 1 << 19
+BUCKET, PART, SHARD = 16 << 20, 1 << 20, 1 << 18
 #: windows of a string at most
 LONGEST = 60_000
 LAST = 2**63 - 1
 _SENT = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("texts", pa.binary()), ("meta", pa.binary()),
-                   ("docs", pa.binary()), ("id", pa.int64()), ("hash", pa.int64()), ("lost", pa.list_(pa.int64()))])
-_SENT_DDL = "bucket int, n int, size int, texts binary, meta binary, docs binary, id long, hash long, lost array<long>"
+                   ("n_docs", pa.int32()), ("docs", pa.binary()), ("id", pa.int64()), ("hash", pa.int64()), ("lost", pa.list_(pa.int64()))])
+_SENT_DDL = "bucket int, n int, size int, texts binary, meta binary, n_docs int, docs binary, id long, hash long, lost array<long>"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _LOW = np.uint64(0xFFFFFFFF)
+#: bits of a minimiser that travel; two that share them are taken for one, at the cost of work
+_KEY = np.uint64(0xFFFFFF)
+_ZSTD = 5
 
 
 def eights(buf: np.ndarray) -> np.ndarray:
@@ -112,7 +115,8 @@ class Shard:
 def merge(shards: list[Shard], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(shard of each place, block of each place) of the merged order: places
     of one block share ``width`` bytes. The k-th place of a shard is its k-th suffix."""
-    symbols = np.unique(np.concatenate([s.symbols for s in shards]))
+    symbols = np.sort(np.concatenate([s.symbols for s in shards]))
+    symbols = symbols[np.concatenate(([True], symbols[1:] != symbols[:-1]))]
     before = np.concatenate([np.searchsorted(symbols, s.symbols).astype(np.uint64)[s.before] for s in shards])
     pair = np.concatenate([s.pair for s in shards])
     of = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
@@ -197,7 +201,7 @@ def _replies(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarra
     heads = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
     n, counts = len(heads), np.diff(np.append(heads, len(doc)))
     none, zero = pa.nulls(n, pa.binary()), pa.array(np.zeros(n), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket), pa.int32()), zero, zero, none, none, none, pa.array(ids[doc[heads]], pa.int64()),
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket), pa.int32()), zero, zero, none, none, zero, none, pa.array(ids[doc[heads]], pa.int64()),
                                        pa.array(hashes[doc[heads]], pa.int64()), ragged(pa.array(spans), counts)], schema=_SENT)
 
 
@@ -210,18 +214,18 @@ def _ranges(s: Strings, mask: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
     return of, s.at[of] + a - s.offs[of], s.at[of] + b - 1 - s.offs[of] + width
 
 
-def equal_strings(key: np.ndarray, total: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which strings equal (byte by byte) one of a smaller id."""
-    lost = np.zeros(len(key), bool)
-    order = np.lexsort((ids, end - begin, total, key))
-    k, t, n = key[order], total[order], (end - begin)[order]
-    same = (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (n[1:] == n[:-1])
-    head = np.concatenate(([True], ~same))
-    group = np.cumsum(head) - 1
-    first = order[np.flatnonzero(head)][group]
-    maybe = np.flatnonzero(ids[order] != ids[first])
-    for lo in range(0, len(maybe), 50_000):
-        x = maybe[lo:lo + 50_000]
+def equal_strings(total: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which strings equal (byte by byte) one of a smaller id; equal strings have equal totals."""
+    lost = np.zeros(len(total), bool)
+    order = np.argsort(total)
+    heads = np.flatnonzero(np.concatenate(([True], total[order[1:]] != total[order[:-1]])))
+    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    least = np.minimum.reduceat(ids[order], heads)[group] if len(order) else order
+    stays = np.flatnonzero(ids[order] == least)
+    first = order[stays[np.unique(group[stays], return_index=True)[1]]][group]
+    maybe = np.flatnonzero((ids[order] != least) & ((end - begin)[order] == (end - begin)[first]))
+    for lo in range(0, len(maybe), 20_000):
+        x = maybe[lo:lo + 20_000]
         mine, other = order[x], first[x]
         a, offs = take_ranges(text, begin[mine], end[mine])
         b, _ = take_ranges(text, begin[other], end[other])
@@ -229,8 +233,10 @@ def equal_strings(key: np.ndarray, total: np.ndarray, begin: np.ndarray, end: np
     return lost
 
 
-def _sums(k: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(k), dtype=np.uint64)))
+def _totals(k: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A number of every string that equal strings share."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(k), dtype=np.uint64)))
+    return mix(sums[end - 7] - sums[begin] + key * np.uint64(0x9E3779B97F4A7C15) + (end - begin).astype(np.uint64))
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
@@ -266,58 +272,96 @@ def cut(buf: np.ndarray, offs: np.ndarray, k: np.ndarray, width: int = WIDTH) ->
     return begin, stop + width - 1, low[begin], doc[begin].astype(np.int64)
 
 
+def _planes(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(c.astype(np.int64).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)
+
+
+def _long_planes(c: np.ndarray) -> bytes:
+    return np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _packed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=_ZSTD).compress(raw, asbytes=True)
+
+
 def _send(buckets: int, width: int):
+
+    def flush(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The strings of some slices, bucket by bucket."""
+        bytes_, rows_ = (np.cumsum([0, *[len(g[i]) for g in got]])[:-1] for i in (0, 1))
+        buf, ids, hashes = (np.concatenate([g[i] for g in got]) for i in range(3))
+        begin, end, doc = (np.concatenate([g[i] + o for g, o in zip(got, base)]) for i, base in ((3, bytes_), (4, bytes_), (5, rows_)))
+        low, total, at = (np.concatenate([g[i] for g in got]) for i in (6, 7, 8))
+        lost = equal_strings(total, begin, end, buf, ids[doc])
+        bucket = ((low >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        if lost.any():
+            yield _replies(doc[lost], at[lost], at[lost] + (end - begin)[lost], ids, hashes, int(bucket[0]))
+        by = np.flatnonzero(~lost)
+        by = by[np.argsort((bucket[by] << 32) | begin[by])]   # in the texts' order, whose steps are small
+        cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+        rows = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(by)]) if len(by) else ():
+            x = by[a:b]
+            text = take_ranges(buf, begin[x], end[x])[0].tobytes()
+            own, mine = np.unique(doc[x], return_inverse=True)
+            meta = _planes(low[x] & _KEY, end[x] - begin[x], np.diff(mine, prepend=0), np.diff(at[x], prepend=0))
+            rows.append({"bucket": int(bucket[x[0]]), "n": len(x), "size": len(text), "texts": _packed(text), "meta": _packed(meta), "n_docs": len(own),
+                         "docs": _packed(_long_planes(np.diff(ids[own], prepend=0)) + hashes[own].tobytes())})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _SENT)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, size = [], 0
         for part in slices(batches, "text", SLICE):
             buf, offs = buffers(part.column("text"))
-            ids, hashes = (part.column(c).to_numpy() for c in ("id", "hash"))
             k = eights(buf)
             begin, end, low, doc = cut(buf, offs, k, width)
             if not len(begin):
                 continue
-            sums = _sums(k)
-            lost = equal_strings(low, sums[end - 7] - sums[begin], begin, end, buf, ids[doc])
-            at = begin - offs[doc]
-            bucket = ((low >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            if lost.any():
-                yield _replies(doc[lost], at[lost], at[lost] + (end - begin)[lost], ids, hashes, int(bucket[0]))
-            by = np.flatnonzero(~lost)
-            by = by[np.argsort((bucket[by] << 32) | (low[by] & _LOW).astype(np.int64))]
-            cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-            rows = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(by)]) if len(by) else ():
-                x = by[a:b]
-                text = take_ranges(buf, begin[x], end[x])[0].tobytes()
-                own, mine = np.unique(doc[x], return_inverse=True)
-                meta = b"".join(y.astype(np.uint32).tobytes() for y in (np.diff(low[x] & _LOW, prepend=np.uint64(0)), end[x] - begin[x], mine, at[x]))
-                rows.append({"bucket": int(bucket[x[0]]), "n": len(x), "size": len(text), "texts": pa.compress(text, codec="zstd", asbytes=True),
-                             "meta": pa.compress(meta, codec="zstd", asbytes=True), "docs": ids[own].tobytes() + hashes[own].tobytes()})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _SENT)
+            got.append((buf, part.column("id").to_numpy(), part.column("hash").to_numpy(), begin, end, doc, low, _totals(k, begin, end, low), begin - offs[doc]))
+            size += len(buf)
+            if size > GATHER:
+                yield from flush(got)
+                got, size = [], 0
+        if got:
+            yield from flush(got)
     return send
 
 
 def _read(batch: pa.RecordBatch, i: int) -> Strings:
     n, size = batch.column("n")[i].as_py(), batch.column("size")[i].as_py()
     text = pa.decompress(batch.column("texts")[i].as_buffer(), decompressed_size=size, codec="zstd")
-    meta = np.frombuffer(pa.decompress(batch.column("meta")[i].as_buffer(), decompressed_size=16 * n, codec="zstd"), np.uint32).reshape(4, n)
-    docs = np.frombuffer(batch.column("docs")[i].as_buffer(), np.int64)
-    return Strings(np.frombuffer(text, np.uint8), np.concatenate(([0], np.cumsum(meta[1], dtype=np.int64))), np.cumsum(meta[0], dtype=np.uint64),
-                   meta[2].astype(np.int64), meta[3].astype(np.int64), docs[:len(docs) // 2], docs[len(docs) // 2:])
+    meta = np.frombuffer(pa.decompress(batch.column("meta")[i].as_buffer(), decompressed_size=16 * n, codec="zstd"), np.uint8).reshape(4, 4, n)
+    meta = [np.ascontiguousarray(m.T).view("<u4").reshape(n) for m in meta]
+    m = batch.column("n_docs")[i].as_py()
+    docs = np.frombuffer(pa.decompress(batch.column("docs")[i].as_buffer(), decompressed_size=16 * m, codec="zstd"), np.uint8)
+    ids = np.cumsum(np.ascontiguousarray(docs[:8 * m].reshape(8, m).T).view("<i8").reshape(m))
+    return Strings(np.frombuffer(text, np.uint8), np.concatenate(([0], np.cumsum(meta[1], dtype=np.int64))), meta[0].astype(np.uint64),
+                   np.cumsum(meta[2].view(np.int32), dtype=np.int64), np.cumsum(meta[3].view(np.int32), dtype=np.int64), ids, docs[8 * m:].view(np.int64))
 
 
-def _merged(s: Strings, width: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Lost ranges (document, start, end) of a bucket."""
+def _shared(s: Strings) -> tuple[np.ndarray, np.ndarray]:
+    """Strings whose minimiser more than one id has, by minimiser, and how many each such one has."""
     order = np.argsort(s.key, kind="stable")
     key, ids = s.key[order], s.id[order]
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     shared = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
     counts = np.diff(np.append(heads, len(key)))
-    order = order[np.repeat(shared, counts)]
+    return order[np.repeat(shared, counts)], counts[shared]
+
+
+def _merged(s: Strings, width: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lost ranges (document, start, end) of a bucket."""
+    s = s.take(_shared(s)[0])
+    if not len(s.key):
+        return
+    s, gone = _collapsed(s)
+    yield gone
+    order, counts = _shared(s) if len(s.key) else (s.key, s.key)
     if not len(order):
         return
     upto = np.cumsum((s.offs[1:] - s.offs[:-1])[order])
-    ends = np.cumsum(counts[shared])
+    ends = np.cumsum(counts)
     begin = 0
     while begin < len(order):
         done = upto[begin - 1] if begin else 0
@@ -360,11 +404,11 @@ def _cuts(upto: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _collapsed(s: Strings) -> tuple[Strings, np.ndarray]:
-    """Strings without those that equal one of a smaller id, and which these are."""
-    sums = _sums(eights(s.text))
-    lost = equal_strings(s.key, sums[s.offs[1:] - 7] - sums[s.offs[:-1]], s.offs[:-1], s.offs[1:], s.text, s.id)
-    return s.take(np.flatnonzero(~lost)), np.flatnonzero(lost)
+def _collapsed(s: Strings) -> tuple[Strings, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strings without those that equal one of a smaller id, and the ranges of these."""
+    lost = equal_strings(_totals(eights(s.text), s.offs[:-1], s.offs[1:], s.key), s.offs[:-1], s.offs[1:], s.text, s.id)
+    gone = np.flatnonzero(lost)
+    return s.take(np.flatnonzero(~lost)), (s.doc[gone], s.at[gone], s.at[gone] + s.offs[gone + 1] - s.offs[gone])
 
 
 def _settle(width: int, part: int, chunk: int):
@@ -391,9 +435,8 @@ def _settle(width: int, part: int, chunk: int):
                 pending.append(_read(batch, i))
                 size += len(pending[-1].text)
                 if size > bound:
-                    s = Strings.together(pending)
-                    left, gone = _collapsed(s)
-                    yield _replies(s.doc[gone], s.at[gone], s.at[gone] + s.offs[gone + 1] - s.offs[gone], s.ids, s.hashes, 0)
+                    left, gone = _collapsed(Strings.together(pending))
+                    yield _replies(*gone, left.ids, left.hashes, 0)
                     pending, size = [left], len(left.text)
                     bound = max(chunk, 2 * size)
         if pending:
