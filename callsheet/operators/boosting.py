@@ -296,6 +296,8 @@ def boost(df: DataFrame, id_col: str, features: Sequence[str], label: str = "lab
     if not r.n:
         return BoostedModel(list(features), [[] for _ in features], 0.0, [])
     cuts = cuts if cuts is not None else hist_cuts(rows, features, params.bins)
+    if max(map(len, cuts), default=0) > 250:
+        raise ValueError("a feature has at most 250 cuts")
     share = min(max(r.s / r.n, 1e-9), 1 - 1e-9)
     model = BoostedModel(list(features), [sorted(c) for c in cuts], math.log(share / (1 - share)), [])
     missing = model.missing
