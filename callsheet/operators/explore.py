@@ -36,6 +36,19 @@ def column_roles(df: DataFrame, label: str | None = None) -> tuple[list[str], li
     return cats, nums
 
 
+def column_figures(df: DataFrame, label: str | None = None) -> DataFrame:
+    """(column_name, role, n, n_distinct): role, non-null and distinct values
+    of every column but the label. All columns are counted by one grouped
+    aggregate of (column, value), with a row for each column of an empty table."""
+    cats, nums = column_roles(df, label)
+    roles = {**dict.fromkeys(cats, "categorical"), **dict.fromkeys(nums, "numeric")}
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in roles]
+    values = df.select(F.inline(F.array(*rows))).groupBy("column_name", "v").agg(F.count("v").alias("n"))
+    figures = values.groupBy("column_name").agg(F.sum("n").alias("n"), F.count("v").alias("n_distinct"))
+    names = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("role")) for c, r in roles.items()])))
+    return names.join(figures, "column_name", "left").fillna(0, ["n", "n_distinct"])
+
+
 def select_features(df: DataFrame) -> DataFrame:
     """All columns but the last (the label sits last)."""
     return df.select(*df.columns[:-1])

@@ -72,14 +72,14 @@ def q_scan_inferred(spark, sf_dir):
     return got.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-@query("column_roles", "SELECT UNNEST(['job', 'contact', 'education', 'month', 'client_id', 'balance', 'amount', 'day', "
-       "'duration', 'campaign']) AS column_name, UNNEST(['categorical', 'categorical', 'categorical', 'categorical', "
-       "'numeric', 'numeric', 'numeric', 'numeric', 'numeric', 'numeric']) AS role")
+_ROLES = {**{c: "numeric" for c in ["client_id", *NUMERIC]}, **{c: "categorical" for c in CATEGORICAL}}
+
+
+@query("column_roles", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{r}' AS role, COUNT({c}) AS n, COUNT(DISTINCT {c}) AS n_distinct FROM clients"
+                                          for c, r in _ROLES.items()))
 def q_column_roles(spark, sf_dir):
-    cats, nums = X.column_roles(clients(spark, sf_dir), "y")
-    rows = clients(spark, sf_dir).limit(1).select(F.inline(F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.lit(r).alias("role")) for r, cs in (("categorical", cats), ("numeric", nums)) for c in cs])))
-    return rows
+    """Every column's role by its type, its values and its distinct values."""
+    return X.column_figures(clients(spark, sf_dir), "y")
 
 
 # ------------------------------------------------ 2.2 projections and filters

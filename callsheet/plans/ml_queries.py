@@ -19,7 +19,7 @@ from callsheet.operators import models as MD
 from callsheet.operators import prep as P
 from callsheet.operators import stats as S
 from callsheet.operators import tuning as T
-from callsheet.plans.model_queries import L2_FEATURES, SEED, labeled
+from callsheet.plans.model_queries import BASE, L2_FEATURES, SEED, _gnb_cte, labeled
 from callsheet.plans.registry import query
 from callsheet.session import materialize, persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients, indicators_sql, with_indicators
@@ -158,11 +158,16 @@ def q_leaderboard(spark, sf_dir):
     return M.leaderboard(train, test, C.bakeoff(L2_FEATURES))
 
 
-@query("average_precision")
+AP_SQL = (f"{BASE}, {_gnb_cte('sc', L2_FEATURES, 'nb', 'te')}, s AS (SELECT round(1 - prob0, 9) AS s, COUNT(*) AS n, SUM(label) AS pos FROM nb GROUP BY 1), "
+          "u AS (SELECT pos, SUM(n) OVER w AS cn, SUM(pos) OVER w AS cp, SUM(pos) OVER () AS t FROM s WINDOW w AS (ORDER BY s DESC)) "
+          "SELECT 'GaussianNB' AS model, SUM(pos / t * cp / cn) AS average_precision FROM u")
+
+
+@query("average_precision", AP_SQL, rnd=("average_precision",))
 def q_average_precision(spark, sf_dir):
     train, test, _ = prepared(spark, sf_dir)
     m = C.GaussianNBClassifier(inputCols=L2_FEATURES).fit(train)
-    scored = m.transform(test).withColumn("score", F.col("probability")[1])
+    scored = m.transform(test).withColumn("score", F.round(F.col("probability")[1], 9))
     ap = M.average_precision(scored, "label", "score")
     return spark.createDataFrame([("GaussianNB", float(ap))], "model string, average_precision double")
 

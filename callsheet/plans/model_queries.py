@@ -211,19 +211,39 @@ def _prep(spark, sf_dir):
     return lab, prep
 
 
-@query("feature_pipeline")
+def _slots_sql(rows: str) -> str:
+    """(client_id, label, slot, value): the assembled vector's slots that are
+    not 0: z-scores (sample deviation), then the levels seen in training by name."""
+    fill = ", ".join(f"COALESCE({c}, (SELECT {c} FROM split WHERE is_train AND {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)) AS {c}"
+                     for c in CATEGORICAL)
+    st = ", ".join(f"AVG({f}) AS m_{f}, STDDEV_SAMP({f}) AS s_{f}" for f in NUMERIC)
+    num = " UNION ALL ".join(f"SELECT client_id, label, {i} AS slot, CASE WHEN s_{f} > 0 THEN (CAST({f} AS DOUBLE) - m_{f}) / s_{f} ELSE 0 END AS value "
+                             f"FROM filled, st WHERE {rows}" for i, f in enumerate(NUMERIC))
+    levels = " UNION ALL ".join(f"SELECT DISTINCT {i} AS c, {c} AS v FROM filled WHERE is_train" for i, c in enumerate(CATEGORICAL))
+    cat = " UNION ALL ".join(f"SELECT client_id, label, slot, 1.0 AS value FROM filled JOIN place ON c = {i} AND v = {c} WHERE {rows}" for i, c in enumerate(CATEGORICAL))
+    return f"""WITH {SPLIT_CTE}, filled AS (SELECT * REPLACE ({fill}) FROM split), st AS (SELECT {st} FROM filled WHERE is_train),
+    place AS (SELECT c, v, {len(NUMERIC) - 1} + ROW_NUMBER() OVER (ORDER BY c, v) AS slot FROM ({levels}) AS _l WHERE v IS NOT NULL),
+    slots AS ({num} UNION ALL {cat})
+    SELECT client_id, label, CAST(slot AS INTEGER) AS slot, value FROM slots WHERE round(value, 6) <> 0"""
+
+
+def _slots(df: DataFrame) -> DataFrame:
+    out = df.select("client_id", "label", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return out.where(F.round("value", 6) != 0)
+
+
+@query("feature_pipeline", _slots_sql("is_train"), rnd=("value",))
 def q_feature_pipeline(spark, sf_dir):
+    """The fitted encoding of the training rows, slot by slot."""
     lab, prep = _prep(spark, sf_dir)
-    out = prep.transform(lab.where("is_train"), ["client_id", "label"])
-    return out.select("client_id", "label", F.size(vector_to_array("features")).alias("width"),
-                      vector_to_array("features").alias("features"))
+    return _slots(prep.transform(lab.where("is_train"), ["client_id", "label"]))
 
 
-@query("transform_with_train")
+@query("transform_with_train", _slots_sql("NOT is_train"), rnd=("value",))
 def q_transform_with_train(spark, sf_dir):
+    """The other rows, encoded as fitted on the training rows."""
     lab, prep = _prep(spark, sf_dir)
-    out = prep.transform(lab.where(~F.col("is_train")), ["client_id", "label"])
-    return out.select("client_id", "label", vector_to_array("features").alias("features"))
+    return _slots(prep.transform(lab.where(~F.col("is_train")), ["client_id", "label"]))
 
 
 # ------------------------------------------------------ 2.8 closed forms
