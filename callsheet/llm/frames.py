@@ -11,16 +11,24 @@ from callsheet.session import scratch_path
 #: A side is broadcast only if it holds at most so many rows and bytes.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
+#: Spark's setting by which a finished execution's shuffle files go at once
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: words ``[^\x20\x09-\x0D]+``
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "zstd", free: bool = False) -> DataFrame:
     """Write ``df`` below the cluster's shared checkpoint folder and read it
-    back: lineage is cut and what is read twice is computed once."""
+    back: lineage is cut and what is read twice is computed once. ``free``: the
+    frame is done with then, and so are its shuffle files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true" if free else before)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -463,7 +463,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """``docs`` with ``n_bytes``, ``removed`` (byte ranges, end excluded) and
     ``kept_bytes`` (the others, concatenated)."""
     out = frames.without(docs, ["n_bytes", "removed", "kept_bytes", "_lost", "_id", "_hash"])
-    lost = frames.stored(lost_ranges(out, id_col, text, width, bucket, part, chunk), "ranges").toDF("_id", "_hash", "_lost")
+    lost = frames.stored(lost_ranges(out, id_col, text, width, bucket, part, chunk), "ranges", free=True).toDF("_id", "_hash", "_lost")
     mine = (F.coalesce(out[id_col].cast("long"), F.lit(LAST)) == F.col("_id")) & (F.xxhash64(out[text]) == F.col("_hash"))
     joined = out.join(lost, mine, "left").select(*[F.col(f"`{c}`") for c in out.columns], "_lost")
     schema = frames.with_fields(out, n_bytes=T.LongType(), removed=SPANS, kept_bytes=T.BinaryType())
