@@ -17,8 +17,10 @@ from callsheet.operators import classifiers as C
 from callsheet.operators import metrics as M
 from callsheet.operators import models as MD
 from callsheet.operators import prep as P
+from callsheet.operators import regression_checks as RC
 from callsheet.operators import stats as S
 from callsheet.operators import tuning as T
+from callsheet.operators.search import Search
 from callsheet.plans.model_queries import BASE, L2_FEATURES, SEED, _gnb_cte, labeled
 from callsheet.plans.registry import query
 from callsheet.session import materialize, persist
@@ -219,15 +221,27 @@ def q_grid_search_nb(spark, sf_dir):
 
 @query("param_search")
 def q_param_search(spark, sf_dir):
-    """50 seeded points, scored by recall of class 1 on a held-out fold."""
+    """50 trials of the learning search, by recall of class 1 on held-out
+    folds (the replaced objective); a batch's points share their scans."""
     train, _, _ = prepared(spark, sf_dir)
     space = {"metric": T.choice("euclidean", "manhattan"), "shrinkThreshold": T.quniform(0.001, 0.5, 0.001)}
-    points = T.draws(space, 50, SEED)
-    counts = T.fold_scores(train, _centroids([(p["metric"], float(p["shrinkThreshold"])) for p in points]), only=[0])
-    names = spark.createDataFrame([(i, p["metric"], float(p["shrinkThreshold"])) for i, p in enumerate(points)],
-                                  "candidate int, metric string, shrink_threshold double")
-    got = counts.groupBy("candidate").agg(F.avg(F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))).alias("score"))
-    return names.join(got, "candidate").select(F.col("candidate").alias("trial"), "metric", "shrink_threshold", "score")
+
+    def recall(points, fold):
+        counts = T.fold_scores(train, _centroids([(p["metric"], float(p["shrinkThreshold"])) for p in points]), only=[fold])
+        return [r.tp / max(r.tp + r.fn, 1) for r in counts.orderBy("candidate").collect()]
+    search = Search(space, lambda points, fold: [0.0] * len(points), folds=2, evals=50, seed=SEED)
+    search.set_objective(recall)
+    search.run()
+    return search.table(spark).select("trial", "round", F.col("params")["metric"].alias("metric"),
+                                      F.col("params")["shrinkThreshold"].cast("double").alias("shrink_threshold"), "score", "folds", "stopped")
+
+
+@query("logit_checked")
+def q_logit_checked(spark, sf_dir):
+    """The full logit with collinear and separating terms named: the month's
+    quarter repeats the months."""
+    c = clients(spark, sf_dir).withColumn("label", yes_no("y").cast("double")).withColumn("quarter", F.floor((F.col("month").cast("int") + 2) / 3).cast("string"))
+    return RC.checked_logit(c, "label ~ job + contact + month + quarter + balance + amount + day + duration + campaign")
 
 
 def _cv_sql() -> str:
