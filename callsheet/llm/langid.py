@@ -4,8 +4,9 @@ Per language, a suffix automaton of labelled text recognises every substring of
 it. A text is parsed greedily against each automaton: a phrase is the longest
 match from where the last one ended, so a text in the automaton's language
 needs few, long phrases. The number of phrases times the logarithm of the
-training length, by the text's length, estimates the cross entropy; the
-language with the least wins.
+sample's bound, by the text's length, estimates the cross entropy; the
+language with the least wins. The price of a phrase is one for all languages, so
+that a language with little text gains nothing by it.
 
 The automata are tables (state x symbol -> state, with a flag where a phrase
 ends), so that many texts are parsed side by side, a symbol per step; texts are
@@ -16,7 +17,8 @@ any other are looked up in a sorted list (as exact, and slower: it serves script
 of thousands of letters).
 
 Training uses a bounded sample: at most ``SAMPLE`` characters per language, of
-documents in the order of a hash of their ids, at most ``SAMPLE_DOC`` of each.
+pieces of ``PIECE`` characters from anywhere in its texts, at most ``PIECES`` of
+a text, picked and ordered by hash, each distinct piece once.
 The tables hold at most 2 * SAMPLE * SYMBOLS entries a language, the lists 3 *
 SAMPLE, and are broadcast; scoring runs over every whole text in its own task, no shuffle.
 
@@ -41,7 +43,7 @@ from pyspark.sql import types as T
 from callsheet.llm import frames
 from callsheet.llm.words import buffers, slices
 
-SAMPLE, SAMPLE_DOC, SEGMENT = 12_000, 2_000, 512
+SAMPLE, PIECE, PIECES, SEGMENT = 12_000, 500, 4, 512
 #: symbol 0: no letter; up to OWN: the most frequent letters; above: OWN + 1 + code point of any other
 OWN = 80
 SYMBOLS = OWN + 1
@@ -132,7 +134,7 @@ class Model:
             one, key, to = parse_table(self.symbol[code].tolist())
             tables.append((one & ~ENDS) + at | (one & ENDS))
             self.start.append(at)
-            self.cost.append(float(np.log2(max(2, len(code)))))
+            self.cost.append(float(np.log2(SAMPLE)))
             keys.append(key + (at << BITS))
             states.append(to + np.int32(at))
             at += len(one) // SYMBOLS
@@ -203,13 +205,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """Automata of a bounded sample of each language's documents."""
     rows = docs.where(docs[lang].isNotNull() & docs[text].rlike(r"\p{L}"))
     rows = rows if learn is None else rows.where(learn)
-    rows = rows.select(docs[lang].alias("lang"), F.substring(F.md5(docs[id_col].cast("string")), 1, 8).alias("h"), docs[text].alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(F.length("text"), F.lit(SAMPLE_DOC))).alias("chars"))
-    # a share of each language by hash holds about twice the sample; the rest is never moved
+    rows = rows.select(docs[lang].alias("lang"), docs[id_col].cast("string").alias("id"), docs[text].alias("text"))
+    pieces = F.ceil(F.length("text") / PIECE)
+    sizes = rows.groupBy("lang").agg(F.sum(F.least(pieces, F.lit(PIECES))).alias("n"), F.sum(F.least(F.length("text"), F.lit(PIECE * PIECES))).alias("chars"))
+    # a share of each language's pieces by hash holds about twice the sample; the rest is never moved
     share = F.least(F.lit(1.0), 2.0 * SAMPLE / F.col("chars") + 16.0 / F.col("n")) * (1 << 32)
     limits = frames.small(frames.stored(sizes.select(F.col("lang").alias("_lang"), share.cast("long").alias("_below")), "languages"))
-    some = rows.join(limits, F.col("lang") == F.col("_lang")).where(F.conv("h", 16, 10).cast("long") <= F.col("_below")) \
-        .select("lang", "h", F.substring("text", 1, SAMPLE_DOC).alias("text")).distinct().orderBy("lang", "h", "text")
+    every = F.transform(F.sequence(F.lit(0), pieces.cast("int") - 1), lambda k: F.struct(F.pmod(F.xxhash64("id", k), F.lit(1 << 32)).alias("h"), k.alias("k")))
+    picked = F.filter(F.slice(F.array_sort(every), 1, PIECES), lambda x: F.pmod(F.xxhash64("id", F.lit("keep"), x["k"]), F.lit(1 << 32)) <= F.col("_below"))
+    some = rows.join(limits, F.col("lang") == F.col("_lang")).select("lang", "text", F.explode(picked["k"]).alias("k")) \
+        .select("lang", F.substring(F.col("text"), F.col("k") * PIECE + 1, F.lit(PIECE)).alias("text")).distinct() \
+        .orderBy("lang", F.md5("text"), "text")
     texts: dict[str, str] = {}
     for r in some.toLocalIterator():
         got = texts.get(r.lang, "")
