@@ -250,8 +250,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     language) and score = floor(2,000,000 a / (l + r))."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(frames.partitions(docs.sparkSession), total // BUCKET + 1)
-    chunks = frames.stored(dictionary(docs, text, lang, buckets), "chunks")
-    counts = frames.stored(phrase_counts(chunks, least, buckets), "phrases")
+    chunks = frames.stored(dictionary(docs, text, lang, buckets), "chunks", free=True)
+    counts = frames.stored(phrase_counts(chunks, least, buckets), "phrases", free=True)
     # first the best of every salt, so that no language is ranked in one task
     by = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = scored(counts).withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
