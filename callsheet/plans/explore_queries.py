@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from callsheet.functions.columns import recode, yes_no
 from callsheet.operators import explore as X
+from callsheet.operators import summaries as SM
+from callsheet.operators.quantiles import exact_quantiles
 from callsheet.plans.registry import long_sql, query, typed_long_sql
 from callsheet.session import scratch_path
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
@@ -449,3 +451,46 @@ def q_cumulative_share(spark, sf_dir):
 def q_sort_desc(spark, sf_dir):
     vc = X.count_by(clients(spark, sf_dir).withColumn("_k", F.lit(1)), CATEGORICAL, "_k").drop("_k")
     return vc.orderBy(F.desc("n"))
+
+
+# ------------------------------------------------ stored summaries
+
+PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+_SUMMED = ["balance", "amount", "duration"]
+
+
+def _stored_summaries(spark, sf_dir):
+    """Summaries of every month, stored and read back."""
+    c = clients(spark, sf_dir, ["client_id", "month", *_SUMMED, "education"])
+    path = scratch_path(spark, "summaries")
+    SM.build(c, ["month"], [*_SUMMED, "education"]).write.parquet(path)
+    return c, spark.read.parquet(path)
+
+
+@query("summary_quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, unnest({list(PROBS)}::DOUBLE[]) AS p, unnest(quantile_cont(CAST({c} AS DOUBLE), {list(PROBS)})) AS exact, true AS within FROM clients"
+    for c in _SUMMED), rnd=("exact",))
+def q_summary_quantiles(spark, sf_dir):
+    """Quantiles from two merged halves of the stored months, held against the
+    exact ones: is the rank of each within three times the stated error?"""
+    c, stored = _stored_summaries(spark, sf_dir)
+    halves = SM.merge(stored.withColumn("half", F.col("month").cast("int") % 2), ["half"])
+    got = SM.figures(SM.merge(halves), PROBS).where(F.col("quantiles").isNotNull())
+    est = got.select("column_name", F.posexplode("quantiles").alias("i", "q")).withColumn("p", F.array(*[F.lit(p) for p in PROBS])[F.col("i")])
+    long = c.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column_name"), F.col(x).cast("double").alias("x")) for x in _SUMMED])))
+    rank = long.join(F.broadcast(est), "column_name").groupBy("column_name", "p").agg(   # one row a column and quantile
+        F.avg((F.col("x") < F.col("q")).cast("double")).alias("lo"), F.avg((F.col("x") <= F.col("q")).cast("double")).alias("hi"))
+    exact = exact_quantiles(long, ["column_name"], "x", list(PROBS))
+    error = 3 * SM.rank_error()
+    return exact.join(rank, ["column_name", "p"]).select("column_name", "p", F.col("q").alias("exact"),
+                                                         ((F.col("lo") - error <= F.col("p")) & (F.col("p") <= F.col("hi") + error)).alias("within"))
+
+
+@query("summary_distinct", " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(DISTINCT {c}) AS n_distinct, true AS within FROM clients" for c in [*_SUMMED, "education"]))
+def q_summary_distinct(spark, sf_dir):
+    """Distinct counts of the merged months, held against the exact ones."""
+    c, stored = _stored_summaries(spark, sf_dir)
+    got = SM.figures(SM.merge(stored), PROBS).select("column_name", F.col("n_distinct").alias("_est"))
+    exact = X.column_figures(c.select(*_SUMMED, "education")).select("column_name", "n_distinct")
+    near = F.abs(F.col("_est") - F.col("n_distinct")) <= 2 * SM.distinct_error() * F.col("n_distinct") + 1
+    return exact.join(got, "column_name").select("column_name", "n_distinct", near.alias("within"))

@@ -4,7 +4,7 @@ profile tables per segment."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import FeatureHasher
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from callsheet.operators import gower as G
 from callsheet.operators import metric_dbscan as MDB
 from callsheet.operators import prep as P
 from callsheet.operators import segments as SG
+from callsheet.operators import wide_svd as WS
 from callsheet.plans.registry import query
 from callsheet.session import persist
 from callsheet.sources.clients import CATEGORICAL, NUMERIC, clients
@@ -62,6 +63,21 @@ def q_svd_variance(spark, sf_dir):
     return SG.svd_variance(encoded(spark, sf_dir), "features")
 
 
+# levels of all pairs of categoricals and bands of the numerics, hashed into so many features
+HASHED = 1 << 16
+
+
+@query("svd_variance_hashed")
+def q_svd_variance_hashed(spark, sf_dir):
+    """Variance of a wide sparse table: pairs of levels hashed into 65,536 features."""
+    subs = subscribers(spark, sf_dir)
+    pairs = [F.concat_ws("|", a, b).alias(f"{a}_{b}") for i, a in enumerate(CATEGORICAL) for b in CATEGORICAL[:i]]
+    bands = [F.concat_ws("|", F.lit(c), F.floor(F.col(c) / w).cast("string")).alias(c) for c, w in (("balance", 500), ("amount", 5000), ("duration", 5))]
+    names = [*[f"{a}_{b}" for i, a in enumerate(CATEGORICAL) for b in CATEGORICAL[:i]], "balance", "amount", "duration"]
+    hashed = FeatureHasher(inputCols=names, outputCol="features", numFeatures=HASHED, categoricalCols=names).transform(subs.select(*pairs, *bands))
+    return WS.wide_variance(hashed, "features", SVD_K, HASHED, seed=SEED)
+
+
 @query("svd_project")
 def q_svd_project(spark, sf_dir):
     p = SG.svd_project(encoded(spark, sf_dir), "features", SVD_K, "svd")
