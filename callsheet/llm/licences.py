@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from callsheet.llm import frames
 
-#: Normalised licence sentences by identifier, from the public licence texts.
+#: Normalised licence sentences by identifier, from the public licence texts; * is a name of 1 to 12 words.
 SENTENCES = {
     "apache-short": "licensed under the apache license version 2 0",
     "apache-header": "licensed under the apache license version 2 0 the license",
@@ -55,13 +55,27 @@ SENTENCES = {
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
+    "lgpl-free": "this library is free software",
+    "lgpl3-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by "
+                   "the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by "
+                    "the free software foundation either version 2 1 of the license or at your option any later version",
+    "agpl3-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by "
+                   "the free software foundation either version 3 of the license or at your option any later version",
+    "zlib-asis": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter "
+                  "it and redistribute it freely subject to the following restrictions",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+                 "accompanying documentation covered by this license the software to use reproduce display distribute execute and "
+                 "transmit the software and to prepare derivative works of the software and to permit third parties to whom the "
+                 "software is furnished to do so all subject to the following",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted "
                           "provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the "
                   "following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
                   "following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "bsd-endorse": "neither the name of * nor the names of its contributors may be used to endorse or "
                    "promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
                  "granted provided that the above copyright notice and this permission notice appear in all copies",
@@ -88,6 +102,12 @@ RULES = [
     ("GPL-2.0-only", ["gpl2-work"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms"]),
+    ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-terms"]),
+    ("LGPL-3.0-or-later", ["gpl-free", "lgpl3-terms"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl21-terms"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl3-terms"]),
+    ("Zlib", ["zlib-asis", "zlib-grant"]),
+    ("BSL-1.0", ["bsl-grant"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("ISC", ["isc-grant"]),
@@ -116,7 +136,13 @@ def known_pattern(known: dict[str, str]) -> str:
     """Matches whole known sentences, the longest first: each is a piece, or
     pieces that follow one another in one sentence."""
     each = sorted(set(known.values()), key=lambda x: (-len(x), x))
-    return "(?m)^(?:" + "|".join(x.replace(" ", "[ \\n]") for x in each) + ")$"
+    return "(?m)^(?:" + "|".join(sentence_pattern(x, "[ \\n]") for x in each) + ")$"
+
+
+def sentence_pattern(sentence: str, blank: str = " ") -> str:
+    """A sentence whose names are any 1 to 12 words; with "Inc." a name may hold a sentence's end."""
+    gap = blank if blank == " " else "[ \\n]{1,2}"
+    return sentence.replace(" ", blank).replace(f"*{blank}", f"(?:[a-z0-9]+{gap}){{1,12}}?")
 
 
 def scan(docs: DataFrame, text: str = "text", known: dict[str, str] = SENTENCES,
@@ -127,9 +153,11 @@ def scan(docs: DataFrame, text: str = "text", known: dict[str, str] = SENTENCES,
     three of four BSD sentences are not a licence of their own."""
     out = frames.without(docs, ["n_sentences", "sentence_ids", "licences"])
     ids = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
+    named = {k: f"^{sentence_pattern(v)}$" for k, v in known.items() if "*" in v}
     found = F.regexp_extract_all("_p", F.lit(known_pattern(known)), 0)
     cut = out.withColumn("_p", pieces(out[text])) \
-        .withColumn("sentence_ids", F.transform(found, lambda x: F.try_element_at(ids, F.translate(x, "\n", " "))))
+        .withColumn("sentence_ids", F.transform(F.transform(found, lambda x: F.regexp_replace(x, "\n+", " ")), lambda x: F.coalesce(
+            F.try_element_at(ids, x), *[F.when(F.rlike(x, F.lit(p)), k) for k, p in named.items()])))
     path = F.concat(F.lit("/"), F.array_join("sentence_ids", "/"), F.lit("/"))
     found = []
     for name, steps in rules:

@@ -139,12 +139,13 @@ def _licence_sql() -> str:
                 path = f"replace({path}, '/{'/'.join(r)}/', '/')"
         tests.append(f"CASE WHEN contains({path}, '/{'/'.join(steps)}/') THEN '{name}' END")
     order = "[" + ", ".join(f"'{x}'" for x in dict.fromkeys(n for n, _ in licences.RULES)) + "]"
+    named = " ".join(f"WHEN regexp_matches(s, '^{licences.sentence_pattern(v)}$') THEN '{v}'" for v in licences.SENTENCES.values() if "*" in v)
     return rf"""
 WITH k(id, s) AS (VALUES {known}),
 d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(list_transform(string_split(
         regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
         lambda x: trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))), lambda x: x <> '') AS s FROM documents),
-u AS (SELECT r, unnest(s) AS s, unnest(range(len(s))) AS i FROM d),
+u AS (SELECT r, CASE {named} ELSE s END AS s, i FROM (SELECT r, unnest(s) AS s, unnest(range(len(s))) AS i FROM d)),
 m AS (SELECT r, string_agg(id, '/' ORDER BY i) AS ids, count(*) AS n FROM u JOIN k USING (s) GROUP BY r),
 f AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(coalesce(n, 0) AS BIGINT) AS n_known,
              coalesce(ids, '') AS sentence_ids, '/' || coalesce(ids, '') || '/' AS p FROM d LEFT JOIN m USING (r))

@@ -33,7 +33,12 @@ GPL_2 = GPL_3.replace("software:", "software;").replace("Foundation, either vers
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.  You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0"""
-TEXTS = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD_3, "ISC": ISC, "GPL-3.0-or-later": GPL_3, "GPL-2.0-or-later": GPL_2,
+LGPL = GPL_3.replace("GNU General", "GNU Lesser General").replace("This program is free", "This library is free")
+AGPL = GPL_3.replace("GNU General", "GNU Affero General")
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""  # noqa: E501
+TEXTS = {"LGPL-3.0-or-later": LGPL, "LGPL-2.1-or-later": LGPL.replace("version 3", "version 2.1"), "AGPL-3.0-or-later": AGPL, "Zlib": ZLIB, "MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD_3, "ISC": ISC, "GPL-3.0-or-later": GPL_3, "GPL-2.0-or-later": GPL_2,
          "Apache-2.0": APACHE}
 
 
@@ -53,3 +58,13 @@ def test_a_known_sentence_is_whole(spark):
              "Code:\nreleased under the MIT\nLicense", "Released under the.\nMIT License", "Released under the\n\nMIT License", "Released under\nthe MIT\nLicense\nsince 2020"]
     got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
     assert [r.licences for r in got] == [["MIT"], [], ["MIT"], [], [], ["MIT"]]
+
+
+@pytest.mark.parametrize("holder", ["Example Inc.", "the University of X. Ample", "Jane Doe", "the <organization>", "ACME Co., Ltd."])
+def test_the_holders_name_does_not_matter(spark, holder):
+    named = BSD_3.replace("the copyright holder", holder)
+    rows = [(w, "\n".join(x for part in named.split("\n\n") for x in [*textwrap.wrap(part, w, break_on_hyphens=False), ""])) for w in (40, 72, 1000)]
+    got = licences.scan(spark.createDataFrame(rows, "width int, text string")).collect()
+    assert [r.licences for r in got] == [["BSD-3-Clause"]] * 3
+    far = "Neither the name of this " + "very " * 20 + "nor the names of its contributors may be used to endorse or promote products"
+    assert licences.scan(spark.createDataFrame([(far,)], "text string")).first().licences == []
