@@ -177,9 +177,11 @@ def by_text(df: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterato
                 return
             t = _combined(got)
             t = t.filter(pc.greater_equal(t.column("n"), least)).combine_chunks()
-            t = t.set_column(1, "text", pc.utf8_slice_codeunits(t.column("text"), 0, -1) if t.num_rows else t.column("text"))
             for out in t.to_batches(max_chunksize=100_000):
-                yield out.select(_TEXTS)
+                buf, offs = buffers(out.column("text"))   # less the newlines, byte by byte: a text may be no valid UTF-8
+                offs = (offs - np.arange(len(offs))).astype(np.int32)
+                text = pa.StringArray.from_buffers(out.num_rows, pa.py_buffer(offs), pa.py_buffer(buf[buf != 0x0A]))
+                yield pa.RecordBatch.from_arrays([text if c == "text" else out.column(c) for c in _TEXTS], _TEXTS)
         now, got, size, bound = None, [], 0, FLUSH
         for batch in batches:
             for i, bucket in enumerate(batch.column("bucket").to_pylist()):
