@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from callsheet.llm import frames
 
-#: Normalised licence sentences by identifier, from the public licence texts; * is a name of 1 to 12 words.
+#: Normalised licence sentences by identifier, from the public licence texts.
 SENTENCES = {
     "apache-short": "licensed under the apache license version 2 0",
     "apache-header": "licensed under the apache license version 2 0 the license",
@@ -75,7 +75,7 @@ SENTENCES = {
                   "following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
                   "following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of * nor the names of its contributors may be used to endorse or "
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
                    "promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
                  "granted provided that the above copyright notice and this permission notice appear in all copies",
@@ -88,6 +88,11 @@ SENTENCES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
 }
+#: The same for sentences that hold a name (*, 1 to 12 words).
+NAMED = {
+    "bsd-endorse": "neither the name of * nor the names of its contributors may be used to endorse or "
+                   "promote products derived from this software without specific prior written permission",
+}
 #: Licence rules as ordered sentence identifiers.
 RULES = [
     ("Apache-2.0", ["apache-short"]),
@@ -132,10 +137,10 @@ def pieces(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, " ?\n ?", "\n"))
 
 
-def known_pattern(known: dict[str, str]) -> str:
+def known_pattern(known: dict[str, str], named: dict[str, str]) -> str:
     """Matches whole known sentences, the longest first: each is a piece, or
     pieces that follow one another in one sentence."""
-    each = sorted(set(known.values()), key=lambda x: (-len(x), x))
+    each = sorted({*known.values(), *named.values()}, key=lambda x: (-len(x), x))
     return "(?m)^(?:" + "|".join(sentence_pattern(x, "[ \\n]") for x in each) + ")$"
 
 
@@ -146,18 +151,17 @@ def sentence_pattern(sentence: str, blank: str = " ") -> str:
 
 
 def scan(docs: DataFrame, text: str = "text", known: dict[str, str] = SENTENCES,
-         rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+         rules: list[tuple[str, list[str]]] = RULES, named: dict[str, str] = NAMED) -> DataFrame:
     """``docs`` with ``n_sentences`` (pieces), ``sentence_ids`` (array, in the order of
     the text) and ``licences`` (array, in the order of the rules). A rule that
     is the beginning of a longer matching one of another licence is dropped:
     three of four BSD sentences are not a licence of their own."""
     out = frames.without(docs, ["n_sentences", "sentence_ids", "licences"])
     ids = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
-    named = {k: f"^{sentence_pattern(v)}$" for k, v in known.items() if "*" in v}
-    found = F.regexp_extract_all("_p", F.lit(known_pattern(known)), 0)
+    found = F.regexp_extract_all("_p", F.lit(known_pattern(known, named)), 0)
     cut = out.withColumn("_p", pieces(out[text])) \
         .withColumn("sentence_ids", F.transform(F.transform(found, lambda x: F.regexp_replace(x, "\n+", " ")), lambda x: F.coalesce(
-            F.try_element_at(ids, x), *[F.when(F.rlike(x, F.lit(p)), k) for k, p in named.items()])))
+            F.try_element_at(ids, x), *[F.when(F.rlike(x, F.lit(f"^{sentence_pattern(v)}$")), k) for k, v in named.items()])))
     path = F.concat(F.lit("/"), F.array_join("sentence_ids", "/"), F.lit("/"))
     found = []
     for name, steps in rules:

@@ -139,7 +139,7 @@ def _licence_sql() -> str:
                 path = f"replace({path}, '/{'/'.join(r)}/', '/')"
         tests.append(f"CASE WHEN contains({path}, '/{'/'.join(steps)}/') THEN '{name}' END")
     order = "[" + ", ".join(f"'{x}'" for x in dict.fromkeys(n for n, _ in licences.RULES)) + "]"
-    named = " ".join(f"WHEN regexp_matches(s, '^{licences.sentence_pattern(v)}$') THEN '{v}'" for v in licences.SENTENCES.values() if "*" in v)
+    named = " ".join(f"WHEN regexp_matches(s, '^{licences.sentence_pattern(v)}$') THEN '{licences.SENTENCES[k]}'" for k, v in licences.NAMED.items())
     return rf"""
 WITH k(id, s) AS (VALUES {known}),
 d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(list_transform(string_split(
