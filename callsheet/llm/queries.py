@@ -298,18 +298,21 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUFFIX_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS id, row_number() OVER () AS r,
-                  regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
-win AS (SELECT r, id, i, array_to_string(b[i:i + 49], '') AS x FROM (SELECT r, id, b, unnest(range(1, len(b) - 48)) AS i FROM d WHERE len(b) >= 50)),
+WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+-- 512 places at a time, as a place in a long text is slow to reach
+cut AS (SELECT r, id, n, j, substr(h, 1024 * j + 1, 1122) AS s FROM
+        (SELECT r, id, h, len(h) // 2 AS n, unnest(range(0, (len(h) // 2 + 511) // 512)) AS j FROM d)),
+win AS (SELECT r, id, 512 * j + k AS i, substr(s, 2 * k - 1, 100) AS x FROM (SELECT *, unnest(range(1, least(512, n - 49 - 512 * j) + 1)) AS k FROM cut)),
 least AS (SELECT x, min(id) AS m FROM win GROUP BY x HAVING min(id) < max(id)),
 lost AS (SELECT r, i FROM win JOIN least USING (x) WHERE id > m),
-pos AS (SELECT r, p, b[p] AS b FROM (SELECT r, b, unnest(range(1, len(b) + 1)) AS p FROM d WHERE r IN (SELECT r FROM lost))),
+pos AS (SELECT r, 512 * j + k AS p, substr(s, 2 * k - 1, 2) AS b FROM
+        (SELECT *, unnest(range(1, least(512, n - 512 * j) + 1)) AS k FROM cut WHERE r IN (SELECT r FROM lost))),
 cover AS (SELECT pos.r, p, b, coalesce(max(i) OVER (PARTITION BY pos.r ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0, false) AS gone
           FROM pos LEFT JOIN lost ON lost.r = pos.r AND i = p),
 edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS begins FROM cover),
 g AS (SELECT r, count(*) FILTER (gone) AS n, count(*) FILTER (begins) AS spans, string_agg(b, '' ORDER BY p) FILTER (NOT gone) AS kept FROM edge GROUP BY r)
-SELECT doc_id, CAST(len(b) AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
-       sha256(unhex(CASE WHEN n IS NULL THEN array_to_string(b, '') ELSE coalesce(kept, '') END)) AS kept_sha256
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
 FROM d LEFT JOIN g USING (r)"""
 
 
