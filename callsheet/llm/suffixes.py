@@ -20,7 +20,9 @@ are judged on the input.
    while their common prefix is at least d. Six rounds and one of two bytes
    give the blocks of suffixes that share ``WIDTH`` bytes: the repeated
    intervals. No suffix is compared with another, and no shard is sorted again.
-5. What is lost goes back to its document as byte ranges.
+5. What is lost goes back to its document as byte ranges. A task sends the
+   ranges of many documents as one row to their receiver, so rows do not grow
+   with documents times buckets.
 
 A minimiser of more bytes than a part (a passage that very many documents
 share) is settled in parts by ascending id: what is left of one part, once
@@ -60,6 +62,12 @@ LAST = 2**63 - 1
 _SENT = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("texts", pa.binary()), ("meta", pa.binary()),
                    ("n_docs", pa.int32()), ("docs", pa.binary()), ("id", pa.int64()), ("hash", pa.int64()), ("lost", pa.list_(pa.int64()))])
 _SENT_DDL = "bucket int, n int, size int, texts binary, meta binary, n_docs int, docs binary, id long, hash long, lost array<long>"
+#: ranges that tasks send to their documents: those of one receiver are one row
+_LOST = pa.schema([("to", pa.int32()), ("n", pa.int32()), ("ranges", pa.binary())])
+_LOST_DDL = "to int, n int, ranges binary"
+_FOUND = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("lost", pa.list_(pa.int64()))])
+#: ranges that a task holds before it sends them on
+HELD = 1 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _LOW = np.uint64(0xFFFFFFFF)
 #: bits of a minimiser that travel; two that share them are taken for one, at the cost of work
@@ -411,21 +419,55 @@ def _collapsed(s: Strings) -> tuple[Strings, tuple[np.ndarray, np.ndarray, np.nd
     return s.take(np.flatnonzero(~lost)), (s.doc[gone], s.at[gone], s.at[gone] + s.offs[gone + 1] - s.offs[gone])
 
 
-def _settle(width: int, part: int, chunk: int):
-    """Settles the buckets of a partition, which come one after another."""
-
-    def flush(pending: list[Strings]) -> Iterator[pa.RecordBatch]:
+def _sent_on(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], receivers: int) -> pa.RecordBatch:
+    """Held ranges, one row a receiver; a document has one receiver."""
+    ids, hashes, spans = (np.concatenate(x) for x in zip(*held))
+    to = ((mix(hashes.view(np.uint64) + mix(ids.view(np.uint64))) >> np.uint64(32)) % np.uint64(receivers)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[by])) + 1
+    rows = [(int(to[x[0]]), len(x), _packed(ids[x].tobytes() + hashes[x].tobytes() + spans[x].tobytes())) for x in np.split(by, cuts) if len(x)]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 3, _LOST.types)], schema=_LOST)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges by document; the rows of a receiver come one after another."""
+
+    def flush(got: list[np.ndarray]) -> pa.RecordBatch:
+        ids, hashes, spans = np.concatenate(got, axis=1)
+        by = np.lexsort((hashes, ids))
+        ids, hashes = ids[by], hashes[by]
+        heads = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))))
+        return pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(hashes[heads]), ragged(pa.array(spans[by]), np.diff(np.append(heads, len(ids))))], schema=_FOUND)
+    now, got = None, []
+    for batch in batches:
+        for to, n, packed in zip(batch.column("to").to_pylist(), batch.column("n").to_pylist(), batch.column("ranges")):
+            if to != now and got:
+                yield flush(got)
+                got = []
+            now = to
+            got.append(np.frombuffer(pa.decompress(packed.as_buffer(), decompressed_size=24 * n, codec="zstd"), np.int64).reshape(3, n))
+    if got:
+        yield flush(got)
+
+
+def _settle(width: int, part: int, chunk: int, receivers: int):
+    """Settles the buckets of a partition, which come one after another. A
+    document loses ranges in many buckets, so these go on together."""
+
+    def flush(pending: list[Strings]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         s = Strings.together(pending)
-        got = list(_merged(s, width, part))
-        if got:
-            yield _replies(*(np.concatenate(x) for x in zip(*got)), s.ids, s.hashes, 0)
+        for doc, start, end in _merged(s, width, part):
+            yield s.ids[doc], s.hashes[doc], (start.astype(np.int64) << 32) | end.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         now, pending, size, bound = None, [], 0, chunk
         for batch in batches:
             n = batch.column("n").to_numpy()
             if (n == 0).any():
-                yield batch.filter(pa.array(n == 0))
+                known = batch.filter(pa.array(n == 0))
+                lost = known.column("lost")
+                many = lost.value_lengths().to_numpy(zero_copy_only=False)
+                yield np.repeat(known.column("id").to_numpy(), many), np.repeat(known.column("hash").to_numpy(), many), lost.flatten().to_numpy()
             for i in np.flatnonzero(n).tolist():
                 bucket = batch.column("bucket")[i].as_py()
                 if bucket != now:
@@ -435,12 +477,23 @@ def _settle(width: int, part: int, chunk: int):
                 pending.append(_read(batch, i))
                 size += len(pending[-1].text)
                 if size > bound:
-                    left, gone = _collapsed(Strings.together(pending))
-                    yield _replies(*gone, left.ids, left.hashes, 0)
+                    left, (doc, start, end) = _collapsed(Strings.together(pending))
+                    yield left.ids[doc], left.hashes[doc], (start.astype(np.int64) << 32) | end.astype(np.int64)
                     pending, size = [left], len(left.text)
                     bound = max(chunk, 2 * size)
         if pending:
             yield from flush(pending)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for got in settled(batches):
+            held.append(got)
+            size += len(got[0])
+            if size > HELD:
+                yield _sent_on(held, receivers)
+                held, size = [], 0
+        if size:
+            yield _sent_on(held, receivers)
     return run
 
 
@@ -454,8 +507,8 @@ def lost_ranges(docs: DataFrame, id_col: str, text: str, width: int = WIDTH, buc
     spread = 1 + 2 * (width - 1) / (width - GRAM + 1)
     buckets = max(parts, int(total * spread) // bucket + 1)
     sent = src.mapInArrow(_send(buckets, width), _SENT_DDL)
-    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(width, part, chunk), _SENT_DDL)
-    return found.groupBy("id", "hash").agg(F.flatten(F.collect_list("lost")).alias("lost"))
+    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(width, part, chunk, buckets), _LOST_DDL)
+    return found.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(_gather, "id long, hash long, lost array<long>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bucket: int = BUCKET, part: int = PART,

@@ -92,3 +92,25 @@ def test_merged_blocks_are_the_equal_windows(shard):
             assert seen.setdefault(b, text[p:p + 50]) == text[p:p + 50]
     assert len(set(seen.values())) == len(seen)
     assert list(seen.values()) == sorted(seen.values())
+
+
+def test_ranges_travel_by_receiver_not_by_document_and_bucket():
+    """Every document loses a range in nearly every bucket; a task sends at
+    most one row to each receiver."""
+    import pyarrow as pa
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij ") for _ in range(70))
+    passages = [word() for _ in range(40)]
+    docs = [" ".join(x for p in rng.sample(passages, 40) for x in (p, word())) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(range(100, 160), pa.int64()), pa.array(docs)], ["id", "hash", "text"])
+    sent = pa.Table.from_batches(list(S._send(32, 50)(iter([batch])))).sort_by("bucket").combine_chunks().to_batches()
+    made = list(S._settle(50, S.PART, S.CHUNK, 4)(iter(sent)))
+    assert sum(b.num_rows for b in made) <= 4
+    by = pa.Table.from_batches(made).sort_by("to").combine_chunks().to_batches()
+    got = [r for b in S._gather(iter(by)) for r in b.to_pylist()]
+    assert len(got) == len({r["id"] for r in got}) == 59
+    want = {i: spans for _, i, _, spans, _ in plain(list(enumerate(docs)))}
+    for r in got:
+        covered = {x for s in r["lost"] for x in range(s >> 32, s & 0xFFFFFFFF)}
+        assert r["hash"] == r["id"] + 100
+        assert covered == {x for a, b in want[r["id"]] for x in range(a, b)}
