@@ -104,3 +104,22 @@ def test_one_class_no_rows_and_null_labels(spark):
     assert max(p) < 1e-6
     none = df.withColumn("label", F.lit(None).cast("int"))
     assert B.boost(none, "id", NAMES).transform(df).where("probability = 0.5").count() == 50
+
+
+def test_sums_of_several_tasks_meet_in_one_shuffle(spark):
+    """A bin's sums come from many tasks: the cut is that of their totals."""
+    u = int(B.UNIT)
+    cells = [(0, 0, 0, -4 * u, 4 * u), (0, 0, 0, -4 * u, 4 * u), (0, 0, 1, 3 * u, 4 * u), (0, 0, 1, 5 * u, 4 * u), (0, 1, 0, -8 * u, 8 * u), (0, 1, 1, 8 * u, 8 * u)]
+    df = spark.createDataFrame(cells, B._CELL).repartition(3)
+    got = B._best_cuts(df, np.array([2, 2]), B.BoostParams(alpha=0.0, lam=1.0))
+    assert [(r.node, -r.nf, -r.nb, r.left, r.gl, r.gr) for r in got.collect()] == [(0, 0, 0, True, -8 * u, 8 * u)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+def test_light_nodes_are_not_asked(spark, monkeypatch):
+    asked = []
+    real = B._histogram
+    monkeypatch.setattr(B, "_histogram", lambda tree, number, open_, *rest: asked.append(len(open_)) or real(tree, number, open_, *rest))
+    x, y = data(60)
+    B.boost(frame(spark, x, y), "id", NAMES, "label", B.BoostParams(rounds=1, depth=8, child_weight=6.0))
+    assert asked == [1]   # 60 rows weigh at most 15: both sides of a cut hold less than 12
