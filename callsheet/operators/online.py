@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from callsheet.session import persist
 
 SEED = 6932
+#: rows of a part that a task holds and runs over at once
+STEP = 100_000
 
 
 @dataclass
@@ -94,7 +96,10 @@ class OnlineModel:
         return df.withColumn(margin, self.margin()).withColumn(prediction, (F.col(margin) > 0).cast("int"))
 
 
-def _epoch(weights: np.ndarray, params: OnlineParams):
+def _epoch(weights: np.ndarray, params: OnlineParams, state: dict[int, tuple]):
+    """An epoch's next step; ``state`` has (part, weights, rows, loss, updates) of the parts that are under way."""
+    under_way = {k: (np.array(r[1]), *r[2:]) for k, r in state.items()}
+
     def epoch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, w, n, loss, updates, out = None, weights, 0, 0.0, 0, []
         for batch in batches:
@@ -108,7 +113,7 @@ def _epoch(weights: np.ndarray, params: OnlineParams):
                 if k != now:
                     if now is not None:
                         out.append((now, w.tolist(), n, loss, updates))
-                    now, w, n, loss, updates = k, weights, 0, 0.0, 0
+                    now, (w, n, loss, updates) = k, under_way.get(k, (weights, 0, 0.0, 0))
                 at = part == k
                 w, more, made = run_part(x[at], y[at], w, params)
                 n, loss, updates = n + int(at.sum()), loss + more, updates + made
@@ -127,10 +132,19 @@ def train(df: DataFrame, id_col: str, features: Sequence[str], label: str = "lab
     whole = df.dropna(subset=[label, *features])
     rows = whole.select(F.pmod(h, F.lit(params.parts)).cast("int").alias("part"), h.alias("_h"), F.col(id_col).alias("_id"), (F.col(label) * 2 - 1).cast("double").alias("y"),
                         F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    dealt = persist(rows.repartition(params.parts, "part").sortWithinPartitions("part", "_h", "_id").select("part", "y", "x"))
+    # a part goes in steps by ascending hash, so no task holds more than a step of it
+    steps = max(1, -(-whole.count() // (params.parts * STEP)))
+    step = (F.shiftright("_h", 32) + F.lit(1 << 31)) * steps
+    rows = rows.withColumn("step", F.shiftright(step, 32).cast("int"))
+    dealt = rows.repartition(params.parts * steps, "step", "part").sortWithinPartitions("step", "part", "_h", "_id").select("step", "part", "y", "x")
+    dealt = persist(dealt)
     w, best, waited, done = np.zeros(len(features) + 1), np.inf, 0, 0
     for done in range(1, params.epochs + 1):
-        got = sorted(dealt.mapInArrow(_epoch(w, params), "part int, w array<double>, n long, loss double, updates long").collect(), key=lambda r: r.part)
+        state: dict[int, tuple] = {}
+        for s in range(steps):
+            some = dealt.where(F.col("step") == s).drop("step") if steps > 1 else dealt.drop("step")
+            state |= {r.part: r for r in some.mapInArrow(_epoch(w, params, state), "part int, w array<double>, n long, loss double, updates long").collect()}
+        got = [state[k] for k in sorted(state)]
         n = sum(r.n for r in got)
         if not n:
             break

@@ -65,3 +65,20 @@ def test_missing_features_one_class_and_no_rows(spark):
     got = {r.id: r.prediction for r in L.train(df, "id", NAMES).transform(df).collect()}
     assert got == {1: 1, 2: None, 3: 1}
     assert not L.train(df.where("id > 9"), "id", NAMES).weights.any()
+
+
+@pytest.mark.parametrize("kind", ["perceptron", "passive_aggressive"])
+def test_parts_in_steps_are_the_same_training(spark, monkeypatch, kind):
+    """A part of many rows is run over in steps, each a task of its own."""
+    rng = np.random.default_rng(8)
+    rows = [(i, *[float(v) for v in x], int(x[0] + x[1] ** 2 > 0.6)) for i, x in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int").repartition(3)
+    params = L.OnlineParams(kind=kind, epochs=3, parts=4)
+    whole = L.train(df, "id", ["a", "b"], "label", params)
+    asked = []
+    real = L._epoch
+    monkeypatch.setattr(L, "STEP", 20)
+    monkeypatch.setattr(L, "_epoch", lambda *a: asked.append(1) or real(*a))
+    stepped = L.train(df, "id", ["a", "b"], "label", params)
+    assert len(asked) == 5 * stepped.epochs
+    assert stepped.epochs == whole.epochs and (stepped.weights == whole.weights).all()
