@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from callsheet.functions.columns import Levels
 from callsheet.operators import models as MD
 from callsheet.plans import model_queries as Q
 from tests.conftest import ROOT, SMALL
@@ -92,3 +93,33 @@ def test_registry_without_the_text_operators(tmp_path):
     got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'pipeline' not in e.queries()"], cwd=tmp_path,
                          capture_output=True, text=True, timeout=300, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert got.returncode == 0, got.stderr[-2000:]
+
+
+@pytest.mark.parametrize("fit", [MD.gaussian_nb, MD.nearest_centroid, lambda *a: MD.nearest_centroid(*a, metric="manhattan")])
+def test_levels_are_their_indicator_columns(spark, fit):
+    rng = np.random.default_rng(8)
+    kinds, sizes = ["a", "b", "c", "other", None], ["s", "l"]
+    rows = [(float(v) if v > -1.5 else None, kinds[int(k)], sizes[int(z)], int(v + k > 2 + n))
+            for v, k, z, n in zip(rng.normal(1, 2, 400), rng.integers(0, 5, 400), rng.integers(0, 2, 400), rng.normal(0, 1, 400))]
+    df = spark.createDataFrame(rows, "x double, kind string, size string, label int")
+    levels = [Levels("kind", ("a", "b", "c")), Levels("size", ("s", "m"))]
+    plain = [(f"{g.column}_{v}", F.when(F.col(g.column) == v, 1.0).otherwise(0.0)) for g in levels for v in g.levels]
+    wide = df.select("*", *[c.alias(n) for n, c in plain])
+    named = fit(wide, [plain[0][0], plain[1][0], plain[2][0], "x", plain[3][0], plain[4][0]], "label")
+    short = fit(df, [levels[0], "x", levels[1]], "label")
+    for k in ("means", "variances", "centroids"):
+        for c in getattr(named, k, {}):
+            assert getattr(short, k)[c] == pytest.approx(getattr(named, k)[c], rel=1e-9, abs=1e-12)
+    cols = ["prediction"] + (["probability"] if hasattr(named, "log_prior") else [])
+    got, want = (m.transform(wide).select(*cols).collect() for m in (short, named))
+    assert [r.prediction for r in got] == [r.prediction for r in want] and None in [r.prediction for r in got]
+    if len(cols) > 1:
+        assert [r.probability for r in got if r.probability] == [pytest.approx(r.probability, abs=1e-9) for r in want if r.probability]
+    only = fit(df, levels, "label").transform(df).where("prediction is null").count()
+    assert only == 0
+
+
+def test_two_layers_do_not_write_levels_out(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = Q.two_layer(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (job" not in plan and "aggregate(" in plan
