@@ -126,3 +126,15 @@ def test_rank_parts_matches_window_cuts(spark):
                          + (F.col("r") > F.floor(F.col("n") * 3 / 4)).cast("int"))
     j = got.join(ref, ["id", "label"])
     assert j.count() == 2000 and j.where(F.col("part") != F.col("want")).count() == 0
+
+
+def test_rank_cuts_do_not_move_the_rows(spark):
+    df = spark.range(0, 20_000, 1, 4).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    seen = []
+    real = P.F.broadcast
+    try:
+        P.F.broadcast = lambda d: seen.append(d.columns) or real(d)
+        got = P.split_stratified(df, "label", "id", 0.5).groupBy("label", "is_train").count().collect()
+    finally:
+        P.F.broadcast = real
+    assert any("_t" in c for c in seen) and sorted(r["count"] for r in got) == [5000] * 4
