@@ -3,6 +3,7 @@ narrowing passes forced by a tiny row limit."""
 
 import numpy as np
 
+from callsheet.operators import quantiles as Q
 from callsheet.operators.quantiles import exact_quantiles
 
 
@@ -24,3 +25,14 @@ def test_exact_quantiles_single_value_and_small_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0)], "g string, v double")
     got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, ["g"], "v", [0.5], max_rows=1).collect()}
     assert got == {("a", 0.5): 1.0, ("b", 0.5): 2.0}
+
+
+def test_ranks_of_one_interval_share_a_histogram(spark, monkeypatch):
+    asked = []
+    real = Q.broadcast_if_small
+    monkeypatch.setattr(Q, "broadcast_if_small", lambda d: asked.append((d.columns, d.count())) or real(d))
+    df = spark.createDataFrame([(g, float(x)) for g in "ab" for x in range(500)], "g string, v double")
+    got = {(r["g"], r["p"]): r["q"] for r in Q.exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75], buckets=16, max_rows=5).collect()}
+    assert got == {(g, p): 499 * p for g in "ab" for p in (0.25, 0.5, 0.75)}
+    # first pass: one interval a group, not one for each of its six ranks
+    assert next(n for cols, n in asked if "_lo" in cols) == 2
