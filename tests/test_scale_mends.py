@@ -29,3 +29,12 @@ def test_bakeoff_members_do_their_whole_work(spark):
     want = 1 / (1 + np.exp(scores[0] - scores[1]))
     assert not np.allclose(model.fitted.scalings[0], 1.0) and np.allclose(got, want, atol=1e-6)
     assert 0.55 < (np.array([r.prediction for r in MD.qda(df, names, "label").transform(df).collect()]) == y).mean()
+
+
+def test_prepared_keeps_only_plain_columns(spark):
+    """Vectors and 0/1 columns are ten times as wide as the columns they are made of."""
+    train, _, _ = Q.prepared(spark, SMALL)
+    leaves = train._jdf.queryExecution().withCachedData().collectLeaves()
+    kept = {leaves.apply(i).output().apply(j).name() for i in range(leaves.size()) for j in range(leaves.apply(i).output().size())}
+    assert {"client_id", "balance", "job", "fold"} <= kept
+    assert not {"features", "job_is_0", "_num"} & kept
