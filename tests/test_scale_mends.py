@@ -1,9 +1,12 @@
 """What large tables and full parameters need: each failed before its mend."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from callsheet.functions.columns import seeded_hash
 from callsheet.operators import classifiers as C
 from callsheet.operators import models as MD
+from callsheet.operators import neighbours as N
 from callsheet.plans import ml_queries as Q
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,3 +41,18 @@ def test_prepared_keeps_only_plain_columns(spark):
     kept = {leaves.apply(i).output().apply(j).name() for i in range(leaves.size()) for j in range(leaves.apply(i).output().size())}
     assert {"client_id", "balance", "job", "fold"} <= kept
     assert not {"features", "job_is_0", "_num"} & kept
+
+
+def test_a_sample_is_cut_before_it_reaches_the_driver(spark):
+    df = spark.range(30_000).select("id", (F.col("id") * 2).alias("x")).repartition(40)
+    plain = df.withColumn("_h", seeded_hash("id", N.SEED)).orderBy("_h", "id").limit(500).select("x").collect()
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    for rows, n in ((df, 30_000), (df, 600)):   # a count that is too small costs rounds, not rows
+        assert N.hashed_sample(rows, "id", n, 500, ["x"]) == plain
+    sc.setJobGroup("sample", "")
+    N.hashed_sample(df, "id", 30_000, 500, ["x"])
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(max(tracker.getJobInfo(j).stageIds)) for j in tracker.getJobIdsForGroup("sample")]
+    assert min(s.numTasks for s in stages) == 1 and all(s.numTasks == 1 for s in stages if s.stageId == max(x.stageId for x in stages))
+    holes = df.withColumn("id", F.when(F.col("id") % 3 > 0, F.col("id")))   # null ids come first
+    assert len(N.hashed_sample(holes, "id", 30_000, 500, ["id"])) == 500
