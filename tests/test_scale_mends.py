@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from callsheet.functions.columns import seeded_hash
+from callsheet.operators import boosting as B
 from callsheet.operators import classifiers as C
 from callsheet.operators import models as MD
 from callsheet.operators import neighbours as N
@@ -56,3 +57,17 @@ def test_a_sample_is_cut_before_it_reaches_the_driver(spark):
     assert min(s.numTasks for s in stages) == 1 and all(s.numTasks == 1 for s in stages if s.stageId == max(x.stageId for x in stages))
     holes = df.withColumn("id", F.when(F.col("id") % 3 > 0, F.col("id")))   # null ids come first
     assert len(N.hashed_sample(holes, "id", 30_000, 500, ["id"])) == 500
+
+
+def test_a_level_is_a_bounded_number_of_sums(spark, monkeypatch):
+    """However many tasks hold the rows, few hand on sums; the trees are the same."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b > 0), int(a + b > 0)) for i, (a, b) in enumerate(rng.normal(size=(800, 2)).round(2).tolist())]
+    seen, best = [], B._best_cuts
+    monkeypatch.setattr(B, "_best_cuts", lambda cells, *a: seen.append(cells.rdd.getNumPartitions()) or best(cells, *a))
+    monkeypatch.setattr(B, "_tasks", lambda state: 3, raising=False)
+    trees = []
+    for parts in (1, 40):
+        df = spark.createDataFrame(rows, "id long, a double, b double, label int").repartition(parts)
+        trees.append(B.boost(df, "id", ["a", "b"], "label", B.BoostParams(rounds=1, depth=3), [[-1.0, 0.0, 1.0], [0.0]]).trees[0])
+    assert max(seen) == 3 and trees[0] == trees[1]
