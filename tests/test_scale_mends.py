@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from callsheet.functions.columns import seeded_hash
 from callsheet.operators import boosting as B
 from callsheet.operators import classifiers as C
+from callsheet.operators import metric_dbscan as MDB
 from callsheet.operators import models as MD
 from callsheet.operators import neighbours as N
 from callsheet.plans import ml_queries as Q
@@ -71,3 +72,10 @@ def test_a_level_is_a_bounded_number_of_sums(spark, monkeypatch):
         df = spark.createDataFrame(rows, "id long, a double, b double, label int").repartition(parts)
         trees.append(B.boost(df, "id", ["a", "b"], "label", B.BoostParams(rounds=1, depth=3), [[-1.0, 0.0, 1.0], [0.0]]).trees[0])
     assert max(seen) == 3 and trees[0] == trees[1]
+
+
+def test_pairs_of_balls_hold_no_vectors(spark):
+    rows = [(i, [float(i), 0.0], 0.0) for i in range(4)]
+    got = MDB._ball_pairs(spark.createDataFrame(rows, "ball long, bv array<double>, r double"), 1.0)
+    assert not any("array" in kind for _, kind in got.dtypes)
+    assert {(r.a, r.b) for r in got.collect()} == {(a, b) for a in range(4) for b in range(4) if abs(a - b) <= 1}
